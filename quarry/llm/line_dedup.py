@@ -5,9 +5,9 @@ one with at least ``noise`` words, a *window* the shortest with at least
 ``guarantee`` words.  Of the grams inside each window the one with the least
 hash is a fingerprint.  Equal windows choose equal fingerprints, so every run
 of ``guarantee`` words that occurs twice shares one, and no match has fewer than
-``noise`` words.  Each fingerprint is joined with its earliest position, the
-match is extended both ways over equal lines (as far as with any earlier
-occurrence, see ``repeated_runs``), and the later run is deleted.
+``noise`` words.  Fingerprints, extended line by line both ways to where the next
+ones take over, are joined with the earliest position of the same content, and
+the later runs are deleted.
 
 Earlier means a smaller (doc_id, text hash, line).  A deleted line always has
 an equal line at an earlier place, so by induction one copy of it stays.
@@ -15,8 +15,6 @@ an equal line at an earlier place, so by induction one copy of it stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +39,14 @@ def _line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _run_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the line hashes of each run ``start:stop``."""
+    p, inv = _tables(len(h) + 1)
+    with np.errstate(over="ignore"):
+        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64)) * p[: len(h)])])
+        return mix((acc[stop] - acc[start]) * inv[start] + (stop - start).astype(np.uint64)).view(np.int64)
+
+
 def fingerprints(h: np.ndarray, w: np.ndarray, off: np.ndarray, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gram key, text, first and last line (within the text) of each fingerprint."""
     n = len(h)
@@ -51,11 +57,7 @@ def fingerprints(h: np.ndarray, w: np.ndarray, off: np.ndarray, noise: int, guar
     words = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
     gram = np.searchsorted(words[1:], words[:-1] + noise)  # its last line
     window = np.searchsorted(words[1:], words[:-1] + guarantee)
-    p, inv = _tables(n + 1)
-    with np.errstate(over="ignore"):
-        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64)) * p[:n])])
-        stop = np.minimum(gram, n - 1) + 1
-        key = mix((acc[stop] - acc[:n]) * inv[:n] + (stop - np.arange(n)).astype(np.uint64))
+    key = _run_keys(h, np.arange(n), np.minimum(gram, n - 1) + 1).view(np.uint64)
     ok = (window <= last) & (w > 0)
     start = np.flatnonzero(ok)
     high = np.searchsorted(gram, window[start], side="right") - 1  # the last gram inside the window
@@ -73,109 +75,64 @@ def fingerprints(h: np.ndarray, w: np.ndarray, off: np.ndarray, noise: int, guar
     return key[pick].view(np.int64), doc[pick], pick - base, gram[pick] - base
 
 
-def _fingerprint_rows(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> dict:
-        h, w = batch.column(2), batch.column(3)
-        off = np.asarray(h.offsets).astype(np.int64)
-        hv = np.asarray(h.values)[off[0] : off[-1]]
-        wv = np.asarray(w.values)[w.offsets[0].as_py() : w.offsets[-1].as_py()]
-        key, doc, s, e = fingerprints(hv, wv, off - off[0], noise, guarantee)
-        return {"g": pa.array(key), "id": batch.column(0).take(pa.array(doc)), "th": batch.column(1).take(pa.array(doc)), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())}
-
-    return arrow_map(lines.select("id", "th", "h", "w"), run, "g long, id long, th long, s int, e int")
-
-
-def _extend(pairs: DataFrame) -> DataFrame:
-    """Runs of the later text that repeat the earlier, and where they diverge.
+def ranges(h: np.ndarray, w: np.ndarray, off: np.ndarray, noise: int, guarantee: int) -> tuple[np.ndarray, ...]:
+    """Content key, text, first and last line of each fingerprint and of its
+    extensions: line by line to either side, for less than ``guarantee`` words.
 
-    ``open`` has an occurrence for each end of a match: the matched lines and
-    the first that differs, under a group key that equals that of any other
-    occurrence with the same lines there.
+    That far suffices.  If a repeated run holds a line that its fingerprints do
+    not cover, less than a window lies between the line and the nearest of them,
+    or another would have been chosen in between.
     """
-
-    def spread(b: np.ndarray, a: np.ndarray, lo: int, hi: int, shift: int, way: int) -> tuple[int, int]:
-        back = min(lo, lo - shift) if way <= 0 else 0
-        if back:
-            differ = np.flatnonzero(b[lo - back : lo][::-1] != a[lo - shift - back : lo - shift][::-1])
-            lo -= int(differ[0]) if len(differ) else back
-        ahead = min(len(b) - 1 - hi, len(a) - 1 - (hi - shift)) if way >= 0 else 0
-        if ahead > 0:
-            differ = np.flatnonzero(b[hi + 1 : hi + 1 + ahead] != a[hi + 1 - shift : hi + 1 - shift + ahead])
-            hi += int(differ[0]) if len(differ) else ahead
-        return lo, hi
-
-    def key_of(g: int, way: int, length: int, line: int) -> int:
-        x = np.array([g, way * 2 + 5, length, line], dtype=np.int64).view(np.uint64)
-        with np.errstate(over="ignore"):
-            return int(mix(mix(mix(x[:1]) + x[1:2]) * np.uint64(3) + mix(x[2:3] + np.uint64(7)) + mix(x[3:4]))[0].view(np.int64))
-
-    def one(b: np.ndarray, a: np.ndarray, hits: list[dict]) -> tuple[list[dict], list[dict]]:
-        known: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        left: list[dict] = []
-        for m in hits:
-            s, e, way = m["s"], m["e"], m["way"]
-            shift = s - m["a"]
-            runs = known.setdefault((shift, way), [])
-            if way == 0 and runs and runs[-1][0] <= s and e <= runs[-1][1]:
-                lo, hi = runs[-1]
-            else:
-                lo, hi = spread(b, a, s, e, shift, way)
-                runs.append((lo, hi))
-            if way >= 0 and hi + 1 < len(b):
-                left.append({"g": key_of(m["g"], 1, hi - s, int(b[hi + 1])), "s": s, "e": hi + 1, "way": 1})
-            if way <= 0 and lo > 0:
-                left.append({"g": key_of(m["g"], -1, e - lo, int(b[lo - 1])), "s": lo - 1, "e": e, "way": -1})
-        return [{"s": s, "e": e} for r in known.values() for s, e in r], left
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs, left = [], []
-            for r in range(batch.num_rows):
-                x, y = one(batch.column(2)[r].values.to_numpy(), batch.column(3)[r].values.to_numpy(), batch.column(4)[r].as_py())
-                runs.append(x)
-                left.append(y)
-            i32, i64 = pa.int32(), pa.int64()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column(0),
-                    "th": batch.column(1),
-                    "runs": pa.array(runs, pa.list_(pa.struct([("s", i32), ("e", i32)]))),
-                    "open": pa.array(left, pa.list_(pa.struct([("g", i64), ("s", i32), ("e", i32), ("way", i32)]))),
-                }
-            )
-
-    return pairs.select("id", "th", "h", "ah", "hits").mapInArrow(run, "id long, th long, runs array<struct<s:int,e:int>>, open array<struct<g:long,s:int,e:int,way:int>>")
+    _, doc, s, e = fingerprints(h, w, off, noise, guarantee)
+    base = off[:-1][doc]
+    first, last = base + s, base + e
+    words = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    lo, hi = [first], [last]
+    for way in (1, -1):
+        a, b, end = first, last, np.where(way > 0, off[1:][doc] - 1, base)
+        step = 1
+        while len(a):
+            at = b + step if way > 0 else a - step
+            inside = at <= end if way > 0 else at >= end
+            a, b, end, at = a[inside], b[inside], end[inside], at[inside]
+            near = (words[at + 1] - words[b + 1] if way > 0 else words[a] - words[at]) < guarantee
+            a, b, end, at = a[near], b[near], end[near], at[near]
+            full = w[at] > 0
+            lo.append(a[full] if way > 0 else at[full])
+            hi.append(at[full] if way > 0 else b[full])
+            step += 1
+    lo, hi = np.concatenate(lo), np.concatenate(hi)
+    pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.empty((0, 2), np.int64)
+    lo, hi = pairs[:, 0], pairs[:, 1]
+    doc = np.searchsorted(off, lo, side="right") - 1
+    return _run_keys(h, lo, hi + 1), doc, lo - off[doc], hi - off[doc]
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
     """id, th (xxhash64 of the text) and the merged runs of lines to delete; checkpointed.
 
-    A fingerprint's occurrences follow the earliest of them; those that leave it
-    at the same place with the same next line go on as a group with an earliest
-    of its own, and so on.  So each occurrence gets its longest match with any
-    earlier one at a cost in proportion to the occurrences.
+    Every fingerprint and each of its extensions is joined with the earliest place
+    of its content, so a passage in any number of texts costs a row a text.
     """
-    lines = cut(_line_hashes(docs, id_col, text_col))
-    arrays = lines.select("id", "th", "h")
-    earlier = arrays.select(F.col("id").alias("aid"), F.col("th").alias("ath"), F.col("h").alias("ah"))
-    occ = cut(_fingerprint_rows(lines, noise, guarantee)).withColumn("way", F.lit(0))
-    found = None
-    while True:
-        firsts = occ.groupBy("g").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.count("*").alias("c")).where("c > 1")
-        firsts = firsts.select("g", F.col("f.id").alias("aid"), F.col("f.th").alias("ath"), F.col("f.s").alias("a"))
-        hits = occ.join(firsts, "g").where("not (id = aid and th = ath and s = a)")
-        pairs = hits.groupBy("id", "th", "aid", "ath").agg(F.sort_array(F.collect_list(F.struct("s", "e", "a", "g", "way"))).alias("hits"))
-        step = cut(_extend(pairs.join(arrays, ["id", "th"]).join(earlier, ["aid", "ath"])))
-        found = step.select("id", "th", "runs") if found is None else found.union(step.select("id", "th", "runs"))
-        occ = step.select("id", "th", F.explode("open").alias("o")).select("o.g", "id", "th", "o.s", "o.e", "o.way")
-        if not step.take(1):
-            break
+
+    def run(batch: pa.RecordBatch) -> dict:
+        h, w = batch.column(2), batch.column(3)
+        off = np.asarray(h.offsets).astype(np.int64)
+        hv = np.asarray(h.values)[off[0] : off[-1]]
+        wv = np.asarray(w.values)[w.offsets[0].as_py() : w.offsets[-1].as_py()]
+        key, doc, s, e = ranges(hv, wv, off - off[0], noise, guarantee)
+        at = pa.array(doc)
+        return {"g": pa.array(key), "id": batch.column(0).take(at), "th": batch.column(1).take(at), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())}
+
+    prints = cut(arrow_map(_line_hashes(docs, id_col, text_col), run, "g long, id long, th long, s int, e int"))
+    firsts = prints.groupBy("g").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.count("*").alias("c")).where("c > 1").select("g", "f")
+    later = prints.join(firsts, "g").where(F.struct("id", "th", "s") > F.col("f"))
     merged = F.aggregate(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("runs")))),
+        F.sort_array(F.collect_set(F.struct("s", "e"))),
         F.array().cast("array<struct<s:int,e:int>>"),
         lambda acc, r: F.when((F.size(acc) > 0) & (r["s"] <= F.element_at(acc, -1)["e"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(r))),
     )
-    return cut(found.groupBy("id", "th").agg(merged.alias("runs")))
+    return cut(later.groupBy("id", "th").agg(merged.alias("runs")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, noise: int = NOISE, guarantee: int = GUARANTEE, removed_col: str = "lines_removed") -> DataFrame:
@@ -184,7 +141,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or text are left as they are (0 removed) and are no
     source of repeats: they have no place in the order.  Rows that share an id
     but not the text are documents of their own; rows that agree in both are one
-    and change alike.  Empty texts and runs under ``guarantee`` words may stay.
+    and change alike.  Empty texts, runs under ``guarantee`` words and blank lines at the ends of
+    a run may stay.
     A text may become empty.  Other columns are passed on, whatever their names;
     an existing ``removed_col`` is replaced.  An empty table gives an empty table.
     """

@@ -30,7 +30,7 @@ def brute(rows):
                 while p + hi + 1 < len(b) and q + hi + 1 < len(a) and b[p + hi + 1] == a[q + hi + 1]:
                     hi += 1
                 n = sum(len(b[k].split()) for k in range(p - lo, p + hi + 1))
-                if n >= GUARANTEE:
+                if n >= GUARANTEE and x:
                     must[d].add(p)
                 if n >= NOISE:
                     may[d].add(p)
