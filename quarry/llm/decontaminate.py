@@ -307,6 +307,11 @@ def latent_table(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.vstack([table, np.zeros((1, table.shape[1]), np.float32)]), idf
 
 
+def _ready_items(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> list[tuple[int, str]]:
+    rows = benchmark.select(F.col(f"`{item_id_col}`").cast("long"), F.col(f"`{item_text_col}`")).dropna().distinct().collect()
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, items_at_once: int = 2_000) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_ratio, answer_ratio``: each leaked pair, with its best passage.
 
@@ -319,8 +324,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     table, idf = latent_table(texts)
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id_col}`").cast("long"), F.col(f"`{item_text_col}`")).dropna().distinct().collect()]
-    items.sort()
+    items = _ready_items(benchmark, item_id_col, item_text_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     found = None
     for at in range(0, max(1, len(items)), items_at_once):
@@ -338,3 +342,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         found = hits if found is None else found.union(hits)
     best = F.max(F.struct("lcs_ratio", "answer_ratio", "cosine")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs_ratio", "b.answer_ratio")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, items_at_once: int = 2_000) -> DataFrame:
+    """The rows of ``docs`` without a leak of any item, in the columns of ``docs``.
+
+    Each row is judged by its own text, whatever its id; nothing is joined or
+    moved.  The cases of ``find_leaks`` hold.
+    """
+    table, idf = latent_table(docs.select(F.col(f"`{text_col}`").alias("t")))
+    items = _ready_items(benchmark, item_id_col, item_text_col)
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(table)
+    out = docs
+    for at in range(0, len(items), items_at_once):
+        part = sc.broadcast(items[at : at + items_at_once])
+        ready: list[Items] = []
+
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array, part=part, ready=ready) -> pa.Array:
+            if not ready:
+                ready.append(Items(part.value, shared.value, idf))
+            kept = []
+            for piece in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0, 512 << 10):
+                good = np.ones(piece.num_rows, dtype=bool)
+                good[np.array(search(Words(piece.column(0)), shared.value, ready[0], cosine)[0], dtype=np.int64)] = False
+                kept.append(good)
+            return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
+
+        out = out.where(clean(F.col(f"`{text_col}`")))
+    return out
