@@ -344,6 +344,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs_ratio", "b.answer_ratio")
 
 
+def _clean(part, shared, idf: np.ndarray, cosine: float):
+    """A column function: whether a text has no leak of the broadcast items."""
+    ready: list[Items] = []
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Items(part.value, shared.value, idf))
+        kept = []
+        for piece in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0, 512 << 10):
+            good = np.ones(piece.num_rows, dtype=bool)
+            good[np.array(search(Words(piece.column(0)), shared.value, ready[0], cosine)[0], dtype=np.int64)] = False
+            kept.append(good)
+        return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, items_at_once: int = 2_000) -> DataFrame:
     """The rows of ``docs`` without a leak of any item, in the columns of ``docs``.
 
@@ -356,19 +374,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     shared = sc.broadcast(table)
     out = docs
     for at in range(0, len(items), items_at_once):
-        part = sc.broadcast(items[at : at + items_at_once])
-        ready: list[Items] = []
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, part=part, ready=ready) -> pa.Array:
-            if not ready:
-                ready.append(Items(part.value, shared.value, idf))
-            kept = []
-            for piece in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0, 512 << 10):
-                good = np.ones(piece.num_rows, dtype=bool)
-                good[np.array(search(Words(piece.column(0)), shared.value, ready[0], cosine)[0], dtype=np.int64)] = False
-                kept.append(good)
-            return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
-
-        out = out.where(clean(F.col(f"`{text_col}`")))
+        out = out.where(_clean(sc.broadcast(items[at : at + items_at_once]), shared, idf, cosine)(F.col(f"`{text_col}`")))
     return out
