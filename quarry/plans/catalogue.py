@@ -405,9 +405,8 @@ def paths(s: SparkSession, d: str, *columns: Column) -> DataFrame:
     return docs(s, d).select("file_no", *columns)
 
 
-P = F.col("path")
-add("basename_dirname", lambda s, d: paths(s, d, S.basename(P).alias("base"), S.dirname(P).alias("dir")), f"{pre()} SELECT file_no, regexp_extract(path, '[^/]*$') AS base, regexp_extract(path, '^(.*/)?') AS dir FROM F")
-add("breadcrumbs", lambda s, d: paths(s, d, F.array_join(S.breadcrumbs(P), "|").alias("crumbs")), f"{pre()} SELECT file_no, version || '|' || version || '/' || tree || '|' || path AS crumbs FROM F")
+add("basename_dirname", lambda s, d: paths(s, d, S.basename(F.col("path")).alias("base"), S.dirname(F.col("path")).alias("dir")), f"{pre()} SELECT file_no, regexp_extract(path, '[^/]*$') AS base, regexp_extract(path, '^(.*/)?') AS dir FROM F")
+add("breadcrumbs", lambda s, d: paths(s, d, F.array_join(S.breadcrumbs(F.col("path")), "|").alias("crumbs")), f"{pre()} SELECT file_no, version || '|' || version || '/' || tree || '|' || path AS crumbs FROM F")
 add("dir_listing", lambda s, d: browse.dir_entries(docs(s, d)), f"{pre()} SELECT DISTINCT tree, version, '' AS dir, version AS name, true AS is_dir FROM F UNION ALL SELECT DISTINCT tree, version, version, tree, true FROM F UNION ALL SELECT tree, version, version || '/' || tree, file_no || '.txt', false FROM F")
 add("dir_listing_one", lambda s, d: browse.list_dir(docs(s, d), "src1", "en/src1"), f"{pre()} SELECT tree, version, 'en/src1' AS dir, file_no || '.txt' AS name, false AS is_dir FROM F WHERE tree = 'src1' AND version = 'en'")
 add(
@@ -426,9 +425,9 @@ add(
     lambda s, d: paths(s, d, S.shorten_ref(F.element_at(F.array(F.concat(F.lit("refs/tags/v"), F.col("file_no").cast("string")), F.sha1(F.col("path").cast("binary")), F.lit("origin/main"), F.lit("refs/branches/origin/x")), (F.col("file_no") % 4 + 1).cast("int"))).alias("ref")),
     f"{pre()} SELECT file_no, CASE file_no % 4 WHEN 0 THEN 'v' || file_no WHEN 1 THEN substr(sha1(path), 1, 12) WHEN 2 THEN 'main' ELSE 'x' END AS ref FROM F",
 )
-add("internal_url", lambda s, d: paths(s, d, S.internal_url(F.col("tree"), P, F.col("n_lines")).alias("url")), f"{pre()} SELECT F.file_no, '/view/' || tree || '/' || path || '#L' || coalesce(len(lines), 0) AS url FROM F LEFT JOIN A USING (file_no)")
-add("view_url", lambda s, d: paths(s, d, S.view_url(F.col("tree"), P, F.col("file_no") % 2 == 0).alias("url")), f"{pre()} SELECT file_no, '/view/' || tree || '/' || path || CASE WHEN file_no % 2 = 0 THEN '/' ELSE '' END AS url FROM F")
-add("permalink", lambda s, d: paths(s, d, S.permalink(P, F.sha1(P.cast("binary")), F.when(F.col("file_no") % 2 == 0, F.substring(F.sha1(P.cast("binary")), 1, 7)).otherwise("HEAD")).alias("url")), f"{pre()} SELECT file_no, CASE WHEN file_no % 2 = 0 THEN path ELSE path || '?commit=' || substr(sha1(path), 1, 16) END AS url FROM F")
+add("internal_url", lambda s, d: paths(s, d, S.internal_url(F.col("tree"), F.col("path"), F.col("n_lines")).alias("url")), f"{pre()} SELECT F.file_no, '/view/' || tree || '/' || path || '#L' || coalesce(len(lines), 0) AS url FROM F LEFT JOIN A USING (file_no)")
+add("view_url", lambda s, d: paths(s, d, S.view_url(F.col("tree"), F.col("path"), F.col("file_no") % 2 == 0).alias("url")), f"{pre()} SELECT file_no, '/view/' || tree || '/' || path || CASE WHEN file_no % 2 = 0 THEN '/' ELSE '' END AS url FROM F")
+add("permalink", lambda s, d: paths(s, d, S.permalink(F.col("path"), F.sha1(F.col("path").cast("binary")), F.when(F.col("file_no") % 2 == 0, F.substring(F.sha1(F.col("path").cast("binary")), 1, 7)).otherwise("HEAD")).alias("url")), f"{pre()} SELECT file_no, CASE WHEN file_no % 2 = 0 THEN path ELSE path || '?commit=' || substr(sha1(path), 1, 16) END AS url FROM F")
 add("external_domain", lambda s, d: _table(s, d, "pages").select("page_id", S.external_domain(F.col("url")).alias("domain")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS domain FROM pages")
 add(
     "line_range_parse",
@@ -437,10 +436,10 @@ add(
 )
 add(
     "repo_url_split",
-    lambda s, d: paths(s, d, S.split_repo_url(F.concat(F.lit("/view/"), F.col("tree"), F.lit("/"), P), ["src1", "src1/en", "src10"]).alias("r")).select("file_no", "r.repo", "r.path"),
+    lambda s, d: paths(s, d, S.split_repo_url(F.concat(F.lit("/view/"), F.col("tree"), F.lit("/"), F.col("path")), ["src1", "src1/en", "src10"]).alias("r")).select("file_no", "r.repo", "r.path"),
     f"{pre()} SELECT file_no, CASE WHEN tree = 'src1' AND version = 'en' THEN 'src1/en' WHEN tree IN ('src1', 'src10') THEN tree END AS repo, CASE WHEN tree = 'src1' AND version = 'en' THEN substr(path, 4) WHEN tree IN ('src1', 'src10') THEN path END AS path FROM F",
 )
-add("tree_entry_parse", lambda s, d: paths(s, d, S.tree_entry(F.concat(F.when(F.col("file_no") % 2 == 0, "120000").otherwise("100644"), F.lit(" blob "), F.sha1(P.cast("binary")), F.lit("\t"), P)).alias("e")).select("file_no", "e.*"), f"{pre()} SELECT file_no, CASE WHEN file_no % 2 = 0 THEN '120000' ELSE '100644' END AS mode, 'blob' AS type, sha1(path) AS id, path AS name, file_no % 2 = 0 AS symlink FROM F")
+add("tree_entry_parse", lambda s, d: paths(s, d, S.tree_entry(F.concat(F.when(F.col("file_no") % 2 == 0, "120000").otherwise("100644"), F.lit(" blob "), F.sha1(F.col("path").cast("binary")), F.lit("\t"), F.col("path"))).alias("e")).select("file_no", "e.*"), f"{pre()} SELECT file_no, CASE WHEN file_no % 2 = 0 THEN '120000' ELSE '100644' END AS mode, 'blob' AS type, sha1(path) AS id, path AS name, file_no % 2 = 0 AS symlink FROM F")
 add("html_escape", lambda s, d: _table(s, d, "pages").select("page_id", S.escape_html(F.col("html")).alias("escaped")), """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
 add("version_order", lambda s, d: paths(s, d, S.version_key(F.concat(F.lit("v"), (F.col("file_no") % 13).cast("string"), F.lit("."), F.col("file_no").cast("string"))).alias("key")), f"{pre()} SELECT file_no, 'v' || lpad((file_no % 13)::VARCHAR, 18, '0') || '.' || lpad(file_no::VARCHAR, 18, '0') AS key FROM F")
 add("repo_groups", lambda s, d: browse.repo_groups(docs(s, d).select(F.concat_ws("/", "version", "tree").alias("name"))), f"{pre()} SELECT DISTINCT version || '/' AS owner, version || '/' || tree AS name FROM F")
