@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 from .textkit import Words
 
 BITS, RANK, OVER, SEED = 14, 64, 8, 7
@@ -224,7 +224,7 @@ class Items:
             vectors.append(table[_slots(w)].sum(axis=0))
             slots.append(np.unique(_slots(w)))
         self.size = np.array(self.size, dtype=np.int64)
-        x = np.array(vectors, dtype=np.float32).reshape(len(self.ids), -1)
+        x = np.array(vectors, dtype=np.float32).reshape(len(self.ids), table.shape[1])
         self.vectors = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         #: shares of the item's squared idf by slot, in 255ths rounded up
         self.mass = np.zeros((len(self.ids), len(table)), dtype=np.uint8)
@@ -372,7 +372,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     items = _ready_items(benchmark, item_id_col, item_text_col)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(table)
-    out = docs
+    out, flag = docs, fresh(docs, "leak_free")
     for at in range(0, len(items), items_at_once):
-        out = out.where(_clean(sc.broadcast(items[at : at + items_at_once]), shared, idf, cosine)(F.col(f"`{text_col}`")))
+        clean = _clean(sc.broadcast(items[at : at + items_at_once]), shared, idf, cosine).asNondeterministic()  # or the plan would push it into other filters and run it twice
+        out = out.withColumn(flag, clean(F.col(f"`{text_col}`"))).where(F.col(flag)).drop(flag)
     return out

@@ -64,15 +64,20 @@ def _slots(words: Words) -> np.ndarray:
 
 def _lexicon(docs: list[np.ndarray], y: np.ndarray, z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Slots whose document frequency differs between the classes by ``z``
-    standard errors, and their log odds."""
+    standard deviations (signed root of the likelihood ratio, which also holds
+    for words that one class never has), and their log odds."""
     if not len(docs) or y.min() == y.max():
         return np.empty(0, np.int64), np.empty(0)
     df = [np.bincount(np.concatenate([d for d, k in zip(docs, y) if k == c] or [np.empty(0, np.int64)]), minlength=1 << _BITS) for c in (0, 1)]
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     p0, p1 = (df[0] + 0.5) / (n0 + 1), (df[1] + 0.5) / (n1 + 1)
     odds = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
-    err = np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5) + 1 / (n0 - df[0] + 0.5) + 1 / (n1 - df[1] + 0.5))
-    pick = np.flatnonzero((np.abs(odds) / err >= z) & (df[0] + df[1] >= 4))
+    rate = (df[0] + df[1]) / (n0 + n1)
+    ratio = np.zeros(len(rate))
+    for d, n in ((df[0], n0), (df[1], n1)):
+        for seen, expected in ((d, n * rate), (n - d, n * (1 - rate))):
+            ratio += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1) / np.where(seen > 0, expected, 1)), 0)
+    pick = np.flatnonzero((ratio >= z * z) & (df[0] + df[1] >= 4))
     return pick, np.clip(odds[pick], -5, 5)
 
 

@@ -124,7 +124,9 @@ def _is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is a read of files, perhaps with columns chosen, so that every row of a file is there once."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "SubqueryAlias"):
-        if plan.nodeName() == "Project" and plan.expressions().toString().find("(") >= 0:
-            return False
+        if plan.nodeName() == "Project":
+            chosen = plan.expressions()
+            if any(chosen.apply(i).nodeName() != "AttributeReference" for i in range(chosen.size())):
+                return False
         plan = plan.children().head()
     return plan.nodeName() == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getName()
