@@ -13,6 +13,7 @@ path against the global rate.  A document is kept if its posterior is at least
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +63,11 @@ def _slots(words: Words) -> np.ndarray:
     return (words.hashes >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _lexicon(docs: list[np.ndarray], y: np.ndarray, z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(docs: list[np.ndarray], y: np.ndarray, z: float = 4.0, effect: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Slots whose document frequency differs between the classes by ``z``
     standard deviations (signed root of the likelihood ratio, which also holds
-    for words that one class never has), and their log odds."""
+    for words that one class never has) and whose log odds differ by ``effect``:
+    words that lean less add up to noise in long texts.  Also their log odds."""
     if not len(docs) or y.min() == y.max():
         return np.empty(0, np.int64), np.empty(0)
     df = [np.bincount(np.concatenate([d for d, k in zip(docs, y) if k == c] or [np.empty(0, np.int64)]), minlength=1 << _BITS) for c in (0, 1)]
@@ -77,7 +79,7 @@ def _lexicon(docs: list[np.ndarray], y: np.ndarray, z: float = 4.0) -> tuple[np.
     for d, n in ((df[0], n0), (df[1], n1)):
         for seen, expected in ((d, n * rate), (n - d, n * (1 - rate))):
             ratio += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1) / np.where(seen > 0, expected, 1)), 0)
-    pick = np.flatnonzero((ratio >= z * z) & (df[0] + df[1] >= 4))
+    pick = np.flatnonzero((ratio >= z * z) & (np.abs(odds) >= effect) & (df[0] + df[1] >= 4))
     return pick, np.clip(odds[pick], -5, 5)
 
 
@@ -117,10 +119,9 @@ def _lexical(hits: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(pos), np.minimum(pos / np.maximum(n, 1), 3), np.log1p(-low) / np.log1p(np.maximum(n, 1))])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """The two heads, from at most ``sample_rows`` labelled ids (those with the
-    least hash).  Labels with a null id or class are left out; of several labels
-    of an id the largest counts.  A head without both classes is constant."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> pd.DataFrame:
+    """Features of at most ``sample_rows`` labelled ids (those with the
+    least hash), in a fixed order."""
     picked = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
@@ -139,7 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         }
 
     got = arrow_map(rows, run, "id long, q int, t int, x array<double>, slots binary, counts binary", 1).toPandas()
-    got = got.assign(size=got.slots.map(len)).sort_values(["id", "size"], kind="stable").reset_index(drop=True)
+    return got.assign(size=got.slots.map(len)).sort_values(["id", "size"], kind="stable").reset_index(drop=True)
+
+
+def heads(got: pd.DataFrame) -> dict:
+    """The two heads from a sample of features and labels."""
     sets = [np.frombuffer(b, np.int32).astype(np.int64) for b in got.slots]
     counts = [np.frombuffer(b, np.int32) for b in got.counts]
     x = np.array([list(r) for r in got.x]) if len(got) else np.empty((0, 10))
@@ -160,6 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return out
 
 
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
+    """The two heads, from at most ``sample_rows`` labelled ids (those with the
+    least hash).  Labels with a null id or class are left out; of several labels
+    of an id the largest counts.  A head without both classes is constant."""
+    return heads(_sample(docs, labels, id_col, text_col, sample_rows))
+
+
 def probabilities(model: dict, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of good and toxic text, and the word counts."""
     words = Words(texts)
