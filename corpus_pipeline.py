@@ -30,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages are cut out; a text of which nothing is left goes.
     ``n_chars`` follows the text."""
-    removed = fresh(docs, "lines_removed")
-    out = dedup_lines(docs, removed_col=removed).where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
+    removed, blank = fresh(docs, "lines_removed"), fresh(docs, "was_blank")
+    marked = docs.withColumn(blank, ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
+    out = dedup_lines(marked, removed_col=removed, inside_lines=True).where(F.col(blank) | F.col("text").rlike(r"\S"))
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, fresh, small_side
+from .passages import cut_passages
 from .textkit import _tables, mix
 
 NOISE, GUARANTEE = 30, 50
@@ -135,9 +136,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cut(later.groupBy("id", "th").agg(merged.alias("runs")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, noise: int = NOISE, guarantee: int = GUARANTEE, removed_col: str = "lines_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, noise: int = NOISE, guarantee: int = GUARANTEE, removed_col: str = "lines_removed", inside_lines: bool = False) -> DataFrame:
     """``docs`` with later repeated runs deleted from its text, and ``removed_col``.
 
+    With ``inside_lines`` what remains is then searched for passages of at least
+    ``guarantee`` words that begin or end within lines (see ``passages``); they
+    do not count in ``removed_col``.
+
     Rows with a null id or text are left as they are (0 removed) and are no
     source of repeats: they have no place in the order.  Rows that share an id
     but not the text are documents of their own; rows that agree in both are one
@@ -154,4 +159,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = F.aggregate(F.col(r), F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
     named = {text_col: F.when(F.col(r).isNotNull(), F.array_join(kept, "\n")).otherwise(text), removed_col: F.coalesce(gone, F.lit(0))}
     others = [c for c in docs.columns if c.lower() != removed_col.lower()]
-    return joined.select(*[named[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in others], named[removed_col].alias(removed_col))
+    out = joined.select(*[named[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in others], named[removed_col].alias(removed_col))
+    return cut_passages(out, id_col, text_col, noise, guarantee) if inside_lines else out

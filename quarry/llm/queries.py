@@ -35,7 +35,7 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), inside_lines=True)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
