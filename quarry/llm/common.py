@@ -47,6 +47,12 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def array_side(df: DataFrame, column: str, item_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Like ``small_side`` for rows that hold an array each: its items are counted too."""
+    size = df.agg(F.sum(F.size(column).cast("long") * item_bytes + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case setting."""
     taken = {c.lower() for c in df.columns}

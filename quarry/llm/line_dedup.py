@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, small_side
+from .common import arrow_map, array_side, cut, fresh
 from .passages import cut_passages
 from .textkit import _tables, mix
 
@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dead = repeated_runs(docs, id_col, text_col, noise=noise, guarantee=guarantee)
     i, t, r = fresh(docs, "dead_id"), fresh(docs, "dead_text"), fresh(docs, "dead_runs")
     text = F.col(f"`{text_col}`")
-    joined = docs.join(small_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), 80), (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
+    joined = docs.join(array_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), r, 32), (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
     kept = F.filter(F.split(text, "\n"), lambda _, k: ~F.exists(F.col(r), lambda x: (k >= x["s"]) & (k <= x["e"])))
     gone = F.aggregate(F.col(r), F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
     named = {text_col: F.when(F.col(r).isNotNull(), F.array_join(kept, "\n")).otherwise(text), removed_col: F.coalesce(gone, F.lit(0))}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, cut, fresh, small_side
+from .common import arrow_map, array_side, cut, fresh, small_side
 from .textkit import Words, shingles
 
 _NEWLINE = 10
@@ -44,13 +44,11 @@ def fingerprints(words: Words, noise: int, guarantee: int) -> tuple[np.ndarray,
     return sh[pick], doc[pick], pick - off[doc[pick]]
 
 
-def extend(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int) -> tuple[int, int]:
-    """Words that agree before and from the two places on."""
-    m = min(a_at, b_at)
-    left = a[a_at - m : a_at][::-1] != b[b_at - m : b_at][::-1]
-    k = min(len(a) - a_at, len(b) - b_at)
-    right = a[a_at : a_at + k] != b[b_at : b_at + k]
-    return int(left.argmax()) if left.any() else m, int(right.argmax()) if right.any() else k
+def extend(a: np.ndarray, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of equal length: words that agree before place ``at``, and from it on."""
+    differ = np.ones((len(a), a.shape[1] + 2), dtype=bool)  # a border on either side ends every match
+    differ[:, 1:-1] = a != b
+    return differ[:, at::-1].argmax(axis=1), differ[:, at + 1 :].argmax(axis=1)
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
@@ -95,33 +93,34 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
 
     def around(batch: pa.RecordBatch) -> dict:
         w = Words(batch.column(2))
-        short = (w.hashes >> np.uint64(32)).astype(np.uint32)
-        out: dict[str, list] = {k: [] for k in ("g", "first", "id", "th", "at", "before", "words")}
-        for i, (x, th, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-            mine = short[w.off[i] : w.off[i + 1]]
-            for h in own:
-                lo = max(0, h["at"] - guarantee)
-                for k, v in zip(out, (h["g"], h["first"], x, th, h["at"], h["at"] - lo, mine[lo : h["at"] + noise + guarantee].tobytes())):
-                    out[k].append(v)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)}
-
-    holders = base.join(small_side(wanted, 400), ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
-    spots = cut(arrow_map(holders, around, "g long, first boolean, id long, th long, at int, before int, words binary", 2))
-    source = spots.where("first").select("g", F.col("before").alias("before0"), F.col("words").alias("words0"))
-    pairs = spots.where("not first").join(source, "g").select("id", "th", "at", "before", "words", "before0", "words0")
+        hits = batch.column(3)
+        n = np.diff(np.asarray(hits.offsets))
+        flat = hits.flatten()
+        g, at, first = (flat.field(k) for k in ("g", "at", "first"))
+        of = np.repeat(np.arange(len(n)), n)
+        where = (w.off[:-1][of] + at.to_numpy())[:, None] + np.arange(-guarantee, noise + guarantee)
+        inside = (where >= w.off[:-1][of][:, None]) & (where < w.off[1:][of][:, None])
+        # outside of a text the two sides have different values, so that no match leaves it
+        short = (w.hashes >> np.uint64(32)).astype(np.uint32)[np.clip(where, 0, max(0, len(w.hashes) - 1))]
+        short = np.where(inside, np.maximum(short, 2), first.to_numpy(zero_copy_only=False).astype(np.uint32)[:, None]).astype(np.uint32)
+        data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(of), [None, pa.py_buffer(np.ascontiguousarray(short).tobytes())]).cast(pa.binary())
+        take = pa.array(of)
+        return {"g": g, "first": first, "id": batch.column(0).take(take), "th": batch.column(1).take(take), "at": at, "words": data}
+
+    width = noise + 2 * guarantee
+    # only the texts that hold a repeated gram move
+    keys = small_side(wanted.select("id", "th"), 24)
+    holders = base.join(keys, ["id", "th"], "left_semi").join(array_side(wanted, "hits", 40), ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
+    spots = cut(arrow_map(holders, around, "g long, first boolean, id long, th long, at int, words binary", 2))
+    source = spots.where("first").select("g", F.col("words").alias("words0"))
+    pairs = spots.where("not first").join(source, "g").select("id", "th", "at", "words", "words0")
 
     def match(batch: pa.RecordBatch) -> dict:
-        keep, lo, hi = [], [], []
-        at, before, before0 = (batch.column(i).to_pylist() for i in (2, 3, 5))
-        for i, (a, b) in enumerate(zip(batch.column(4), batch.column(6))):
-            left, right = extend(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), before[i], before0[i])
-            if left + right >= guarantee:
-                keep.append(i)
-                lo.append(at[i] - left)
-                hi.append(at[i] + right)
-        of = pa.array(keep, pa.int64())
-        return {"id": batch.column(0).take(of), "th": batch.column(1).take(of), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())}
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, width) for i in (3, 4))
+        left, right = extend(a, b, guarantee)
+        keep = np.flatnonzero(left + right >= guarantee)
+        of, at = pa.array(keep), batch.column(2).to_numpy()[keep]
+        return {"id": batch.column(0).take(of), "th": batch.column(1).take(of), "lo": pa.array(at - left[keep], pa.int32()), "hi": pa.array(at + right[keep], pa.int32())}
 
     return cut(arrow_map(pairs, match, "id long, th long, lo int, hi int").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
 
@@ -144,7 +143,7 @@ def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guaran
     dead = repeated_passages(docs, id_col, text_col, noise, guarantee)
     i, t, r = fresh(docs, "passage_id"), fresh(docs, "passage_text"), fresh(docs, "passage_runs")
     text = F.col(f"`{text_col}`")
-    side = small_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), 160)
+    side = array_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), r, 32)
     joined = docs.join(side, (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
     whole = joined.where(F.col(r).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
     part = joined.where(F.col(r).isNotNull()).select(*[_without(text, F.col(r)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

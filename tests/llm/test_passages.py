@@ -32,8 +32,9 @@ def test_every_window_shares_its_fingerprint():
 
 
 def test_extension_and_cut():
-    a, b = np.array([1, 2, 3, 4, 5, 6]), np.array([9, 2, 3, 4, 7])
-    assert extend(a, b, 2, 2) == (1, 2)
+    a, b = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]]), np.array([[9, 2, 3, 4, 7, 6], [1, 2, 3, 4, 5, 6]])
+    left, right = extend(a, b, 2)
+    assert left.tolist() == [1, 2] and right.tolist() == [2, 4]
     assert cut_words("Ein, zwei drei.\nvier (fünf)", [(1, 3)]) == "Ein, \nvier (fünf)"
     assert cut_words("a b c d", [(0, 1), (2, 4)]) == "b "
 
