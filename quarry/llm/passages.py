@@ -65,16 +65,6 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def _merged(runs: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
     """id, th (xxhash64 of the text), runs (array of lo, hi in words) to cut; checkpointed."""
     text = F.col(f"`{text_col}`")
@@ -122,12 +112,17 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
         of, at = pa.array(keep), batch.column(2).to_numpy()[keep]
         return {"id": batch.column(0).take(of), "th": batch.column(1).take(of), "lo": pa.array(at - left[keep], pa.int32()), "hi": pa.array(at + right[keep], pa.int32())}
 
-    return cut(arrow_map(pairs, match, "id long, th long, lo int, hi int").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
+    joined = F.aggregate(
+        F.sort_array(F.collect_set(F.struct("lo", "hi"))),
+        F.array().cast("array<struct<lo:int,hi:int>>"),
+        lambda acc, r: F.when((F.size(acc) > 0) & (r["lo"] <= F.element_at(acc, -1)["hi"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], r["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(r))),
+    )
+    return cut(arrow_map(pairs, match, "id long, th long, lo int, hi int").groupBy("id", "th").agg(joined.alias("runs")))
 
 
 @F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    return pa.array([t if r is None or t is None else cut_words(t, _merged(r)) for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
+    return pa.array([t if r is None or t is None else cut_words(t, [(x["lo"], x["hi"]) for x in r]) for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
 
 
 def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
@@ -143,8 +138,9 @@ def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guaran
     dead = repeated_passages(docs, id_col, text_col, noise, guarantee)
     i, t, r = fresh(docs, "passage_id"), fresh(docs, "passage_text"), fresh(docs, "passage_runs")
     text = F.col(f"`{text_col}`")
-    side = array_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), r, 32)
-    joined = docs.join(side, (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
-    whole = joined.where(F.col(r).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    part = joined.where(F.col(r).isNotNull()).select(*[_without(text, F.col(r)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    return whole.unionAll(part)
+    named = dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r))
+    same = (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t))
+    keys = small_side(named.select(i, t), 24)  # so that only texts with something to cut move
+    whole = docs.join(keys, same, "left_anti")
+    part = docs.join(keys, same, "left_semi").join(array_side(named, r, 16), same)
+    return whole.unionAll(part.select(*[_without(text, F.col(r)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
