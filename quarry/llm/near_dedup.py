@@ -3,7 +3,8 @@
 A document is a near duplicate of a *superior* one (more shingles, or as many
 and a smaller id) if at least ``threshold`` of its k-word shingles occur there
 and the superior has at most ``ratio`` times as many: a short text quoted in a
-much longer one is no duplicate of it.  Candidates come from MinHash bands:
+much longer one is no duplicate of it.  With ``any_size`` superiors of any size
+count.  Candidates come from MinHash bands:
 
 * documents are partitioned by the size of their shingle set, at powers of
   ``ratio``; a partner lies in the same partition or the next one;
@@ -15,7 +16,15 @@ much longer one is no duplicate of it.  Candidates come from MinHash bands:
   and each document meets its likeliest superior; only those that exact
   containment then leaves without a partner meet all the other superiors of
   their buckets.  So a group of thousands of copies costs a pair a member, and
-  no bucket is capped.
+  no bucket is capped;
+* with ``any_size``, documents that are still alone look among all larger sets.
+  Beyond the ratio the Jaccard similarity of a wanted pair falls towards 0 and no
+  banding finds it, but each shingle of the smaller set is still in the larger
+  with the containment's probability.  So the ``PROBES`` least shingles of the
+  smaller set are looked up in the whole sets of the others.  A wanted pair
+  shares so many of them (``least_hits``) that it shares some of the rarest;
+  only those are joined, so a passage that all documents share costs nothing.
+  Bloom filters pick the shingles that move.
 
 Containment is always computed from the whole texts.
 """
@@ -35,6 +44,8 @@ from .textkit import Words, mix, reduce_by, shingles
 
 K, THRESHOLD, RATIO, RECALL, HASHES = 5, 0.6, 1.5, 0.92, 72
 _BITS = 128
+PROBES, MISS, COMMON = 32, 0.001, 3
+_FILTER_BYTES, _FILTER_PARTS = 64 << 20, 16
 
 
 def least_jaccard(threshold: float, low: int, high: int, ratio: float) -> float:
@@ -248,8 +259,113 @@ def _verify(texts: DataFrame, pairs: DataFrame, k: int, threshold: float) -> Dat
     return routed.mapInArrow(run, "x long, y long, containment double")
 
 
+def least_hits(n: int, threshold: float) -> int:
+    """Probes of a set of ``n`` that a superior holds at least, but for ``MISS`` of the pairs at the threshold."""
+    if n <= PROBES:
+        return max(1, math.ceil(threshold * n - 1e-9))
+    below = 0.0
+    for k in range(PROBES + 1):
+        below += math.comb(PROBES, k) * threshold**k * (1 - threshold) ** (PROBES - k)
+        if below > MISS:
+            return max(1, k)
+    return PROBES
+
+
+def _slots(keys: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Part of the filter and two bits in it for each key."""
+    with np.errstate(over="ignore"):
+        h, g = mix(keys ^ np.uint64(0x2545F4914F6CDD1D)), mix(keys + np.uint64(0x632BE59BD9B4E019))
+    low = np.uint64(bits - 1)
+    return (h >> np.uint64(48)).astype(np.int64) % parts, [(h & low).astype(np.int64), (g & low).astype(np.int64)]
+
+
+def _filter_of(probes: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the column ``key``: 16 to 32 bits a key while they fit ``_FILTER_BYTES``.
+    Parts are built in tasks; beyond that size it only lets more shingles through."""
+    bits = 1 << max(10, min((_FILTER_BYTES * 8 // _FILTER_PARTS).bit_length() - 1, (16 * count // _FILTER_PARTS).bit_length()))
+
+    def place(batch: pa.RecordBatch) -> dict:
+        part, at = _slots(batch.column(0).to_numpy().view(np.uint64), _FILTER_PARTS, bits)
+        return {"part": pa.array(np.tile(part, 2), pa.int32()), "bit": pa.array(np.concatenate(at), pa.int32())}
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = (c.to_numpy() for c in batch.columns)
+            for p in np.unique(part).tolist():
+                own = have.setdefault(p, np.zeros(bits // 8, dtype=np.uint8))
+                b = bit[part == p]
+                np.bitwise_or.at(own, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
+        if have:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(have), pa.int32()), "data": pa.array([v.tobytes() for v in have.values()], pa.binary())})
+
+    out = np.zeros((_FILTER_PARTS, bits // 8), dtype=np.uint8)
+    for r in arrow_map(probes.select("key"), place, "part int, bit int").repartition(_FILTER_PARTS, "part").mapInArrow(build, "part int, data binary").collect():
+        out[r["part"]] = np.frombuffer(r["data"], dtype=np.uint8)
+    return out
+
+
+def _met(texts: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """key, y, n, sh: the shingles of all texts that pass the filter of the column ``key``."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_of(probes, probes.count()))
+
+    def scan(batch: pa.RecordBatch) -> dict:
+        table = shared.value
+        sh, off = _unique_sets(*shingles(Words(batch.column(1)), k))
+        n = np.diff(off)
+        part, at = _slots(sh, len(table), table.shape[1] * 8)
+        live = np.ones(len(sh), dtype=bool)
+        for b in at:
+            live &= (table[part, b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
+        own = np.repeat(np.arange(len(n)), n)[live]
+        return {"key": pa.array(sh[live].view(np.int64)), "y": batch.column(0).take(pa.array(own)), "n": pa.array(n[own], pa.int32()), "sh": pa.array(_set_hash(sh, off)[own].view(np.int64))}
+
+    return arrow_map(texts, scan, "key long, y long, n int, sh long", 1)
+
+
+def _set_hash(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return reduce_by(np.add, mix(sh + np.uint64(11)), off, np.uint64(0))
+
+
+def _larger_pairs(texts: DataFrame, sets: DataFrame, alone: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(x, superior y, hits) of any sizes, for the sets ``alone`` (id, n, sh) among ``sets``."""
+
+    def least(batch: pa.RecordBatch) -> dict:
+        sh, off = _unique_sets(*shingles(Words(batch.column(1)), k))
+        n = np.diff(off)
+        first = sh[np.arange(len(sh)) - np.repeat(off[:-1], n) < PROBES].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, PROBES))]), pa.int32()), pa.array(first))
+        return {"id": batch.column(0), "n": pa.array(n, pa.int32()), "sh": pa.array(_set_hash(sh, off).view(np.int64)), "probes": lists}
+
+    own = cut(arrow_map(texts, least, "id long, n int, sh long, probes array<long>", 1).join(small_side(cut(alone), 24), ["id", "n", "sh"], "left_semi").dropDuplicates(["id"]).select("id", "n", "probes"))
+    rounds = max(1, math.ceil(own.count() * PROBES / _FILTER_BYTES))  # so that a filter has 8 bits a key at least
+    need = F.array(*[F.lit(least_hits(i, threshold)) for i in range(1, PROBES + 2)])
+    out = None
+    for r in range(rounds):
+        some = own.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
+        probes = some.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode("probes").alias("key"))
+        # a key of one text is in no other
+        often = cut(_met(texts, probes, k).groupBy("key").count().where("count > 1"))
+        by_set = probes.join(small_side(often, 24), "key", "left").groupBy("x", "nx").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("c"), "key"))).alias("p"))
+        least_of = F.element_at(need, F.least(F.col("nx"), F.lit(PROBES + 1)))
+        # of a wanted pair's hits all but need - common can be among the probes left out
+        ask = by_set.withColumn("common", F.least(F.lit(COMMON), least_of)).select("x", "nx", "common", F.explode(F.filter(F.slice("p", 1, F.size("p") - least_of + F.col("common")), lambda z: z["c"] > 1)["key"]).alias("key"))
+        ask = cut(ask)
+        held = _met(texts, ask.select("key").distinct(), k).join(small_side(sets.select(F.col("rep").alias("y"), "n", "sh"), 24), ["y", "n", "sh"], "left_semi").select("key", "y", F.col("n").alias("ny")).distinct()
+        superior = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+        pairs = cut(ask.join(held, "key").where(superior).groupBy("x", "common", "y").agg(F.count("*").alias("hits")).where("hits >= common").select("x", "y", "hits"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _alone(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` whose id has no superior yet."""
+    return rows.join(small_side(edges.select(F.col("x").alias("id")).distinct(), 16), "id", "left_anti")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, threshold: float = THRESHOLD, ratio: float = RATIO, recall: float = RECALL, hashes: int = HASHES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, threshold: float = THRESHOLD, ratio: float = RATIO, recall: float = RECALL, hashes: int = HASHES, any_size: bool = False
 ) -> DataFrame:
     """Near-duplicate groups: ``doc_id, group_id, container_id, containment, n_shingles, keep``, a row an id.
 
@@ -258,6 +374,8 @@ def near_duplicates(
     whether it is the document itself; so one document of each group is kept.
     Exact copies have containment 1 in the smallest id of the copies.
 
+    ``any_size`` lifts ``ratio``: a superior of any size contains a document.
+
     Null and empty texts, and texts without words, have no shingles: they are
     kept, alone in their group.  Rows with a null id cannot be named and are
     left out.  Rows that share an id share its verdict: the largest of their
@@ -275,6 +393,15 @@ def near_duplicates(
     again = keyed.join(small_side(settled, 16), "id", "left").withColumn("open", F.coalesce("open2", F.lit(True))).drop("open2")
     rest = cut(_bucket_pairs(again, threshold, ratio, True))
     edges = found.unionByName(_verify(texts, rest, k, threshold)) if rest.take(1) else found
+    if any_size:
+        edges = cut(edges)
+        larger = cut(_larger_pairs(texts, sets, _alone(sets.select(F.col("rep").alias("id"), "n", "sh"), edges), k, threshold))
+        likeliest = larger.groupBy("x").agg(F.max_by("y", F.struct("hits", "y")).alias("y"))
+        edges = cut(edges.unionByName(_verify(texts, likeliest, k, threshold)))
+        others = larger.select(F.col("x").alias("id"), "y").join(likeliest.select(F.col("x").alias("id"), "y"), ["id", "y"], "left_anti")
+        others = cut(_alone(others, edges).select(F.col("id").alias("x"), "y"))
+        if others.take(1):
+            edges = edges.unionByName(_verify(texts, others, k, threshold))
     up = edges.groupBy("x").agg(F.max(F.struct("containment", (-F.col("y")).alias("o"))).alias("m")).select(F.col("x").alias("id"), (-F.col("m.o")).alias("up"), F.col("m.containment").alias("containment"))
     link = cut(up)
     root = link.select("id", F.col("up").alias("root"))

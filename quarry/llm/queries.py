@@ -55,7 +55,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), any_size=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

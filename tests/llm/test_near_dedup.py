@@ -98,3 +98,24 @@ def test_cases(spark):
     assert left.columns == df.columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 0, 1, 3, 4, 5, 6, 8]
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_any_size_finds_what_far_larger_documents_contain(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, parts = [], set()
+    for i in range(60):
+        whole = [word() for _ in range(rng.choice([100, 400, 2000]))]
+        size = int(len(whole) / rng.choice([1.6, 3, 8])) if i % 2 else rng.choice([8, 12, 30])
+        at = rng.randint(0, len(whole) - size)
+        copy = whole[at : at + size]
+        if size >= 30:  # an edited copy: two words of 30, each in up to five shingles
+            for p in range(7, size, 15):
+                copy[p] = word()
+        rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(copy))]
+        parts.add(2 * i + 1)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = near_duplicates(df, any_size=True).toPandas()
+    assert set(out.doc_id[~out.keep]) == parts
+    assert all(g == x - x % 2 for x, g in zip(out.doc_id, out.group_id))
+    assert near_duplicates(df.limit(0), any_size=True).count() == 0
