@@ -2,13 +2,14 @@
 
 A passage may begin and end in the middle of lines, where no line equals another.
 So words are winnowed too: of the ``noise``-word grams in each window of
-``guarantee`` words the one with the least hash is a fingerprint, positions are
-joined with the earliest place of the same gram, and only for grams that occur
-twice the surrounding words are fetched and the match is extended both ways.
-Matches of at least ``guarantee`` words are cut out of the later text.
+``guarantee`` words the one with the least hash is a fingerprint, and only around
+grams that occur twice the windows themselves are compared: equal windows choose
+equal grams at equal places, so a window that occurs twice is found at both.  A
+window that has an equal one at an earlier place, whichever text holds it, is
+cut; runs of ``guarantee`` words or more are the unions of their windows.
 
 What is exchanged is a narrow row for each fingerprint (about one in eleven
-words), and a fixed number of words for each that repeats, whatever the lengths
+words), and one for each window around those that repeat, whatever the lengths
 of the texts or the number of copies.
 """
 
@@ -16,12 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, array_side, cut, fresh, small_side
-from .textkit import Words, shingles
+from .textkit import Words, _tables, mix, shingles
 
 _NEWLINE = 10
 
@@ -44,6 +45,20 @@ def fingerprints(words: Words, noise: int, guarantee: int) -> tuple[np.ndarray,
     return sh[pick], doc[pick], pick - off[doc[pick]]
 
 
+def window_keys(words: Words, doc: np.ndarray, at: np.ndarray, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content key, text and first word of each window that holds one of the grams (text, first word)."""
+    n = words.counts()
+    start = at[:, None] + np.arange(noise - guarantee, 1)
+    inside = (start >= 0) & (start + guarantee <= n[doc][:, None])
+    place = np.unique((words.off[:-1][doc][:, None] + start)[inside])
+    p, inv = _tables(len(words.hashes) + 1)
+    with np.errstate(over="ignore"):
+        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes) * p[: len(words.hashes)])])
+        key = mix((acc[place + guarantee] - acc[place]) * inv[place]) if len(place) else np.empty(0, np.uint64)
+    of = np.searchsorted(words.off, place, side="right") - 1
+    return key, of, place - words.off[of]
+
+
 def extend(a: np.ndarray, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """For rows of equal length: words that agree before place ``at``, and from it on."""
     differ = np.ones((len(a), a.shape[1] + 2), dtype=bool)  # a border on either side ends every match
@@ -77,47 +92,32 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
 
     found = cut(arrow_map(base, prints, "g long, id long, th long, at int", 2))
     place = F.struct("id", "th", "at")
-    firsts = found.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("g", "f")
-    hits = found.join(firsts, "g").select("g", "id", "th", "at", (place == F.col("f")).alias("first")).distinct()
-    wanted = cut(hits.groupBy("id", "th").agg(F.collect_list(F.struct("g", "at", "first")).alias("hits")))
+    twice = found.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("g")
+    wanted = cut(found.join(twice, "g").groupBy("id", "th").agg(F.collect_set("at").alias("hits")))
 
-    def around(batch: pa.RecordBatch) -> dict:
-        w = Words(batch.column(2))
+    def windows(batch: pa.RecordBatch) -> dict:
         hits = batch.column(3)
         n = np.diff(np.asarray(hits.offsets))
-        flat = hits.flatten()
-        g, at, first = (flat.field(k) for k in ("g", "at", "first"))
-        of = np.repeat(np.arange(len(n)), n)
-        where = (w.off[:-1][of] + at.to_numpy())[:, None] + np.arange(-guarantee, noise + guarantee)
-        inside = (where >= w.off[:-1][of][:, None]) & (where < w.off[1:][of][:, None])
-        # outside of a text the two sides have different values, so that no match leaves it
-        short = (w.hashes >> np.uint64(32)).astype(np.uint32)[np.clip(where, 0, max(0, len(w.hashes) - 1))]
-        short = np.where(inside, np.maximum(short, 2), first.to_numpy(zero_copy_only=False).astype(np.uint32)[:, None]).astype(np.uint32)
-        data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(of), [None, pa.py_buffer(np.ascontiguousarray(short).tobytes())]).cast(pa.binary())
-        take = pa.array(of)
-        return {"g": g, "first": first, "id": batch.column(0).take(take), "th": batch.column(1).take(take), "at": at, "words": data}
-
-    width = noise + 2 * guarantee
+        key, doc, at = window_keys(Words(batch.column(2)), np.repeat(np.arange(len(n)), n), hits.flatten().to_numpy().astype(np.int64), noise, guarantee)
+        of = pa.array(doc)
+        return {"w": pa.array(key.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32())}
+
     # only the texts that hold a repeated gram move
     keys = small_side(wanted.select("id", "th"), 24)
-    holders = base.join(keys, ["id", "th"], "left_semi").join(array_side(wanted, "hits", 40), ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
-    spots = cut(arrow_map(holders, around, "g long, first boolean, id long, th long, at int, words binary", 2))
-    source = spots.where("first").select("g", F.col("words").alias("words0"))
-    pairs = spots.where("not first").join(source, "g").select("id", "th", "at", "words", "words0")
-
-    def match(batch: pa.RecordBatch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, width) for i in (3, 4))
-        left, right = extend(a, b, guarantee)
-        keep = np.flatnonzero(left + right >= guarantee)
-        of, at = pa.array(keep), batch.column(2).to_numpy()[keep]
-        return {"id": batch.column(0).take(of), "th": batch.column(1).take(of), "lo": pa.array(at - left[keep], pa.int32()), "hi": pa.array(at + right[keep], pa.int32())}
-
-    joined = F.aggregate(
-        F.sort_array(F.collect_set(F.struct("lo", "hi"))),
-        F.array().cast("array<struct<lo:int,hi:int>>"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (r["lo"] <= F.element_at(acc, -1)["hi"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], r["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(r))),
-    )
-    return cut(arrow_map(pairs, match, "id long, th long, lo int, hi int").groupBy("id", "th").agg(joined.alias("runs")))
+    holders = base.join(keys, ["id", "th"], "left_semi").join(array_side(wanted, "hits", 12), ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
+    spots = arrow_map(holders, windows, "w long, id long, th long, at int", 2)
+    order = F.row_number().over(Window.partitionBy("w").orderBy("id", "th", "at"))
+    later = spots.withColumn("nth", order).where("nth > 1").groupBy("id", "th").agg(F.collect_list("at").alias("ats"))
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        runs = []
+        for ats in batch.column(2):
+            lo = np.sort(ats.values.to_numpy())
+            new = np.flatnonzero(np.diff(lo) > guarantee)  # windows that meet or overlap are one run
+            runs.append([{"lo": x, "hi": y + guarantee} for x, y in zip(lo[np.append(0, new + 1)].tolist(), lo[np.append(new, len(lo) - 1)].tolist())])
+        return {"id": batch.column(0), "th": batch.column(1), "runs": pa.array(runs, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))}
+
+    return cut(arrow_map(later, merge, "id long, th long, runs array<struct<lo:int,hi:int>>"))
 
 
 @F.arrow_udf(T.StringType())
@@ -129,9 +129,8 @@ def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guaran
     """``docs`` without later repeats of passages of at least ``guarantee`` words.
 
     Later means a greater (id, text hash, word), so a cut word always has an equal
-    one at an earlier place and one copy of it stays.  A fingerprint is compared
-    with the earliest place of its gram alone.  Words are compared without case
-    and marks.  Rows with a null id or text, empty texts and texts of fewer than
+    one at an earlier place and one copy of it stays.  Words are compared without
+    case and marks.  Rows with a null id or text, empty texts and texts of fewer than
     ``guarantee`` words are left as they are; rows that agree in id and text
     change alike; other columns are passed on; an empty table gives an empty one.
     """

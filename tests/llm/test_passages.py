@@ -76,3 +76,19 @@ def test_cases(spark):
     assert kept[5] == [f"a {short} b"] and kept[6] == [f"c {short} d"]
     assert p not in kept[7][0] and len(kept[7][0].split()) < 60  # repeats within a text go as well
     assert dedup_lines(df.limit(0), inside_lines=True).count() == 0
+
+
+def test_an_earlier_fragment_shields_no_copies(spark):
+    rng = random.Random(12)
+    texts, copies = {}, []
+    for k, (held, size) in enumerate([(45, 50), (45, 55), (49, 50), (49, 60), (40, 80)] * 4):
+        p = words(rng, size)
+        pad = lambda: words(rng, 20)
+        texts[3 * k] = " ".join(pad() + p[:held] + pad())
+        texts[3 * k + 1] = " ".join(pad() + p + pad())
+        texts[3 * k + 2] = " ".join(pad() + p + pad())
+        copies.append((3 * k + 2, size))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in cut_passages(df, "doc_id", "text", 30, 50).collect()}
+    assert all(len(got[i].split()) == 40 for i, _ in copies)
+    assert all(got[i] == t for i, t in texts.items() if i % 3 < 2)
