@@ -7,8 +7,9 @@
    sums are added up in a tree of partitions, and a small factorisation on the
    driver yields the leading right singular vectors.  The matrix is never stored.
 3. Texts are cut into overlapping passages, projected, and compared by cosine
-   with the projected benchmark items: that finds candidates.  Those that hold
-   too little of the item's squared idf to be a paraphrase go at once.
+   with the projected benchmark items, long ones cut into parts no longer than a
+   passage: that finds candidates.  Those that hold too little of the part's
+   squared idf to be a paraphrase go at once.
 4. A candidate is a leak if the longest common subsequence of the item's words
    and the passage's surroundings covers enough of the item and of its answer
    (its last sentence).
@@ -208,11 +209,17 @@ def answer_of(text: str) -> str:
     return text
 
 
+def parts_of(m: int) -> np.ndarray:
+    """Bounds of the equal parts, of a passage's words at most, of an item of ``m`` words.
+    A text that holds some share of the item's words holds that share of one part at least."""
+    return np.linspace(0, m, -(-m // PASSAGE) + 1).round().astype(np.int64)
+
+
 class Items:
-    """Benchmark items ready for the search: words, masks and latent vectors."""
+    """Benchmark items ready for the search: words and masks, and the latent vectors of their parts."""
 
     def __init__(self, rows: list[tuple[int, str]], table: np.ndarray, weight: np.ndarray):
-        self.ids, self.masks, self.answers, self.size, vectors, slots = [], [], [], [], [], []
+        self.ids, self.masks, self.answers, self.size, vectors, slots, of, size = [], [], [], [], [], [], [], []
         for i, text in rows:
             w = Words(pa.array([text])).hashes
             if len(w) < MIN_WORDS:
@@ -221,13 +228,19 @@ class Items:
             self.size.append(len(w))
             self.masks.append(masks_of(w.tolist()))
             self.answers.append(masks_of(Words(pa.array([answer_of(text)])).hashes.tolist()))
-            vectors.append(table[_slots(w)].sum(axis=0))
-            slots.append(np.unique(_slots(w)))
+            cuts = parts_of(len(w))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                vectors.append(table[_slots(w[lo:hi])].sum(axis=0))
+                slots.append(np.unique(_slots(w[lo:hi])))
+                of.append(len(self.ids) - 1)
+                size.append(hi - lo)
         self.size = np.array(self.size, dtype=np.int64)
-        x = np.array(vectors, dtype=np.float32).reshape(len(self.ids), table.shape[1])
+        #: item and words of each part
+        self.of, self.part_size = (np.array(v, dtype=np.int64) for v in (of, size))
+        x = np.array(vectors, dtype=np.float32).reshape(len(of), table.shape[1])
         self.vectors = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        #: shares of the item's squared idf by slot, in 255ths rounded up
-        self.mass = np.zeros((len(self.ids), len(table)), dtype=np.uint8)
+        #: shares of the part's squared idf by slot, in 255ths rounded up
+        self.mass = np.zeros((len(of), len(table)), dtype=np.uint8)
         for j, own in enumerate(slots):
             share = weight[own] ** 2 / (weight[own] ** 2).sum()
             self.mass[j, own] = np.minimum(255, np.ceil(share * 255))
@@ -252,7 +265,7 @@ def search(words: Words, table: np.ndarray, items: Items, cosine: float = COSINE
     cells = np.vstack([grid, np.full((PASSAGE // BLOCK, BLOCK), 1 << BITS, dtype=grid.dtype)])
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    for size, mine in ((2, items.size <= 30), (PASSAGE // BLOCK, items.size > 30)):
+    for size, mine in ((2, items.part_size <= 30), (PASSAGE // BLOCK, items.part_size > 30)):
         which = np.flatnonzero(mine)
         if not len(which):
             continue
@@ -277,7 +290,8 @@ def search(words: Words, table: np.ndarray, items: Items, cosine: float = COSINE
                 mass += np.where(live, got, 0)
             near = np.flatnonzero(mass >= MASS * 255)
             for r, c in zip(rows[near].tolist(), cols[near].tolist()):
-                j = int(which[c])
+                part = int(which[c])
+                j = int(items.of[part])
                 d = int(doc[begin[a + r]])
                 lo, hi = words.off[d], words.off[d + 1]
                 place = lo + (begin[a + r] - first[d]) * BLOCK
@@ -312,6 +326,20 @@ def _ready_items(benchmark: DataFrame, item_id_col: str, item_text_col: str) ->
     return sorted((r[0], r[1]) for r in rows)
 
 
+def _portions(items: list[tuple[int, str]], at_once: int) -> list[list[tuple[int, str]]]:
+    """Items in runs of at most ``at_once`` parts, or of one item."""
+    out: list[list[tuple[int, str]]] = [[]]
+    room = at_once
+    for item in items:
+        parts = max(1, -(-len(Words(pa.array([item[1]])).hashes) // PASSAGE))
+        if out[-1] and parts > room:
+            out.append([])
+            room = at_once
+        out[-1].append(item)
+        room -= parts
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, items_at_once: int = 2_000) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_ratio, answer_ratio``: each leaked pair, with its best passage.
 
@@ -319,16 +347,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     null and empty texts hold no leaks.  Rows with a null doc_id are reported
     under null, and rows that share an id together.  Items of equal text are
     reported each.  Other columns are ignored.  Empty tables give an empty table.
-    Benchmarks of more than ``items_at_once`` items are searched in that many at
-    a time, so what tasks are sent has a fixed size.
+    Benchmarks of more than ``items_at_once`` items, or parts of long items, are
+    searched in that many at a time, so what tasks are sent has a fixed size.
     """
     texts = docs.select(F.col(f"`{text_col}`").alias("t"))
     table, idf = latent_table(texts)
     items = _ready_items(benchmark, item_id_col, item_text_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     found = None
-    for at in range(0, max(1, len(items)), items_at_once):
-        part = docs.sparkSession.sparkContext.broadcast(items[at : at + items_at_once])
+    for some in _portions(items, items_at_once):
+        part = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             ready = Items(part.value, shared.value, idf)
@@ -373,7 +401,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(table)
     out, flag = docs, fresh(docs, "leak_free")
-    for at in range(0, len(items), items_at_once):
-        clean = _clean(sc.broadcast(items[at : at + items_at_once]), shared, idf, cosine).asNondeterministic()  # or the plan would push it into other filters and run it twice
+    for some in _portions(items, items_at_once) if items else []:
+        clean = _clean(sc.broadcast(some), shared, idf, cosine).asNondeterministic()  # or the plan would push it into other filters and run it twice
         out = out.withColumn(flag, clean(F.col(f"`{text_col}`"))).where(F.col(flag)).drop(flag)
     return out

@@ -102,3 +102,21 @@ def test_singular_vectors_match_a_full_decomposition(spark):
     assert np.allclose(vectors.T @ vectors, np.eye(D.RANK), atol=1e-3)
     assert abs(values[0] - true[0]) < 0.02 * true[0]
     assert np.linalg.norm(a @ vectors) > 0.7 * np.sqrt((true[: D.RANK] ** 2).sum())
+
+
+def test_long_items_are_found_verbatim_and_paraphrased(spark):
+    rng = random.Random(11)
+    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    bench, docs, want = [], list(base), set()
+    for k, size in enumerate([100, 200, 300, 400, 600, 1000] * 4):
+        item = [rng.choice(vocabulary) for _ in range(size)]
+        bench.append((k, " ".join(item)))
+        for copy, kept in enumerate((1.0, 0.75)):
+            host = rng.choice(base)[1].split()
+            at = rng.randrange(len(host) + 1)
+            docs.append((10_000 + 2 * k + copy, " ".join(host[:at] + [w for w in item if rng.random() < kept] + host[at:])))
+            want.add((10_000 + 2 * k + copy, k))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(bench, "item_id long, text string"), items_at_once=50).collect()}
+    assert got == want
