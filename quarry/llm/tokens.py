@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,8 @@ from .common import arrow_map, shared_dir, tokenizer_dir
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space (the tokenizer's, which is Unicode's) that its pattern would walk back through one by one.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 _loaded: dict[str, object] = {}
 
 
@@ -38,14 +41,36 @@ def encoding(path: str):
     return _loaded[path]
 
 
+def encode_text(enc, text: str) -> np.ndarray:
+    """The ids of a text, whatever its length.
+
+    The pattern makes one piece of a run of white space, but for its last character
+    if a word follows.  Its engine gives up on very long runs, so these are cut
+    here at the same places, and encoded as the pieces they are.
+    """
+    parts, at = [], 0
+    for m in _BLANKS.finditer(text):
+        low, high = m.span()
+        high -= high < len(text)
+        if low > at:
+            parts.append(enc.encode_to_numpy(text[at:low], disallowed_special=()))
+        parts.append(np.array(enc._encode_single_piece(text[low:high]), dtype=np.uint32))
+        at = high
+    if at == 0:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    if at < len(text):
+        parts.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts)
+
+
 def encoder(name: str = TOKENIZER) -> Callable[[str], np.ndarray]:
     """``text -> ids``, with the file read where it runs."""
     path = name if os.path.isabs(name) else os.path.join(tokenizer_dir(), name)
 
     def encode(text: str) -> np.ndarray:
-        from quarry.llm.tokens import encoding as load
+        from quarry.llm import tokens as here
 
-        return load(path).encode_to_numpy(text, disallowed_special=())
+        return here.encode_text(here.encoding(path), text)
 
     return encode
 

@@ -48,3 +48,24 @@ def test_cases(spark):
     assert token_table(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         write_tokens(tokenize(df), "/nowhere", coding="other")
+
+
+def test_long_runs_of_white_space_give_the_same_ids(spark, monkeypatch):
+    import random
+    import re
+
+    from quarry.llm import packing, tokens
+
+    enc = encoding(ENC)
+    blanks = " " * 1_000_000 + "a"
+    texts = [blanks, "x" + "\n" * 2_000_000, "a" * 500_000 + "\t 　" * 400_000 + "!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in token_table(df).collect()}
+    assert all(enc.decode(out[i].tokens) == t for i, t in enumerate(texts))
+    assert {r.doc_id: r.n_tokens for r in packing.pack(df).collect()} == {i: r.n_tokens for i, r in out.items()}
+    # with a short limit the cuts can be held against the tokenizer itself
+    monkeypatch.setattr(tokens, "_BLANKS", re.compile(tokens._BLANKS.pattern.replace("1024", "2")))
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", "\n", "\t", "\x1c", "　", "a", "the", ".", "1", "'s"]) * rng.choice([1, 1, 2, 5]) for _ in range(rng.randint(0, 12)))
+        assert tokens.encode_text(enc, t).tolist() == enc.encode(t, disallowed_special=())
