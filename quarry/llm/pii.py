@@ -6,6 +6,11 @@ dates, phone lengths), addresses of mail and hexadecimal secrets are permuted
 inside the set of values of the same format.  The permutation depends on the key
 and the kind alone, so equal values stay equal across documents, distinct ones
 stay distinct, and who has the key can invert it.  What fails validation stays.
+
+A date has one pseudonym in all notations, and a phone number one in all
+spacings, with or without its country's code.  So that each notation can be read
+back, a date stays among those whose day is as it was under 10, up to 12 or over
+12 and whose month is under 10 or not; padding with zeros stays as it is.
 """
 
 from __future__ import annotations
@@ -78,16 +83,30 @@ def _card(f: Feistel, s: str, back: bool) -> str | None:
     return _fill(s, body + str(luhn_digit(body)), str.isdigit)
 
 
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country(digits: str) -> str:
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in _TWO else digits[:3]
+
+
 def _phone(f: Feistel, s: str, back: bool) -> str | None:
-    prefix = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", s)
-    head = prefix.group() if prefix else ""
-    d = re.sub(r"\D", "", s[len(head) :])
-    if not 7 <= len(d) <= 13:
+    """The digits after the country's code; ten digits in American notation have code 1."""
+    d = re.sub(r"\D", "", s)
+    head = 0
+    if s[0] == "+" or s.startswith("00"):
+        head = 2 * (s[0] != "+")
+        code = _country(d[head:])
+        head += len(code)
+    else:
+        code = "1"
+    n = len(d) - head
+    if not 7 <= n <= 13 or code[:1] == "0":
         return None
-    low = 10 ** (len(d) - 1) if d[0] != "0" else 0
-    high = 10 ** len(d) if d[0] != "0" else 10 ** (len(d) - 1)
-    x = f.permute(int(d), 10 ** len(d), f"phone{len(d)}", lambda v: low <= v < high, back)
-    return head + _fill(s[len(head) :], str(x).zfill(len(d)), str.isdigit)
+    first = d[head] == "0"
+    x = f.permute(int(d[head:]), 10**n, f"phone{code}-{n}", lambda v: (v < 10 ** (n - 1)) == first, back)
+    return _fill(s, d[:head] + str(x).zfill(n), str.isdigit)
 
 
 def _ip(f: Feistel, s: str, back: bool) -> str | None:
@@ -121,8 +140,15 @@ def _day(y: int, m: int, d: int) -> int | None:
     return n - _FIRST if _FIRST <= n <= _LAST else None
 
 
+def _cell(n: int) -> tuple[bool, bool, bool]:
+    """What of a date its notations depend on: how many digits day and month have, and whether the day can be a month."""
+    d = datetime.date.fromordinal(_FIRST + n)
+    return d.day < 10, d.day > 12, d.month < 10
+
+
 def _shift_day(f: Feistel, n: int, back: bool) -> datetime.date:
-    return datetime.date.fromordinal(_FIRST + f.permute(n, _LAST - _FIRST + 1, "date", back=back))
+    cell = _cell(n)
+    return datetime.date.fromordinal(_FIRST + f.permute(n, _LAST - _FIRST + 1, "date", lambda v: _cell(v) == cell, back))
 
 
 def _iso_date(f: Feistel, s: str, back: bool) -> str | None:
@@ -133,28 +159,28 @@ def _iso_date(f: Feistel, s: str, back: bool) -> str | None:
 def _other_date(f: Feistel, s: str, back: bool) -> str | None:
     """d.m.y for dots; m/d/y for slashes, or d/m/y where that alone is a date."""
     sep = "." if "." in s else "/"
-    a, b, y = (int(x) for x in s.split(sep))
-    month_first = sep == "/" and _day(y, a, b) is not None
-    n = _day(y, a, b) if month_first else _day(y, b, a)
+    one, two, year = s.split(sep)
+    month_first = sep == "/" and _day(int(year), int(one), int(two)) is not None
+    n = _day(int(year), int(one), int(two)) if month_first else _day(int(year), int(two), int(one))
     if n is None:
         return None
-    if sep == "/" and not month_first:  # stay among the dates that only read day first
-        x = f.permute(n, _LAST - _FIRST + 1, "date-day-first", lambda v: datetime.date.fromordinal(_FIRST + v).day > 12, back)
-        day = datetime.date.fromordinal(_FIRST + x)
-    else:
-        day = _shift_day(f, n, back)
-    one, two = (day.month, day.day) if month_first else (day.day, day.month)
-    pad = 2 if len(s) == 10 else 1
-    return f"{one:0{pad}d}{sep}{two:0{pad}d}{sep}{day.year}"
+    day = _shift_day(f, n, back)
+    new = (day.month, day.day) if month_first else (day.day, day.month)
+    return sep.join([*(str(x).zfill(len(old)) for x, old in zip(new, (one, two))), str(day.year)])
 
 
 def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
 
+def _is_iban(s: str) -> bool:
+    c = s.replace(" ", "")
+    return 15 <= len(c) <= 34 and bool(re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", c)) and _iban_check(c[:2], c[4:]) == int(c[2:4])
+
+
 def _iban(f: Feistel, s: str, back: bool) -> str | None:
     c = s.replace(" ", "")
-    if not 15 <= len(c) <= 34 or _iban_check(c[:2], c[4:]) != int(c[2:4]):
+    if not _is_iban(s):
         return None
     body = _mixed(f, c[4:], f"iban{c[:2]}", back)
     return _fill(s, f"{c[:2]}{_iban_check(c[:2], body):02d}{body}", lambda x: x != " ")
@@ -187,7 +213,13 @@ def _secret(f: Feistel, s: str, back: bool) -> str | None:
     if s.isdigit() or s.isalpha():
         return None
     alphabet = "0123456789ABCDEF" if re.search("[A-F]", s) else "0123456789abcdef"
-    mixed = lambda x: not (format(x, f"0{len(s)}x").isdigit() or format(x, f"0{len(s)}x").isalpha())
+
+    def mixed(x: int) -> bool:  # what would be read as another kind is left out
+        h = format(x, f"0{len(s)}x")
+        return not (h.isdigit() or h.isalpha() or _is_iban(h.upper()))
+
+    if _is_iban(s.upper()):
+        return None
     y = format(f.permute(int(s, 16), 16 ** len(s), f"hex{len(s)}", mixed, back), f"0{len(s)}x")
     return y.upper() if "A" in alphabet else y
 
@@ -197,12 +229,14 @@ _KINDS = {
     "date": (r"\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)(?:19|20)\d{2}", _other_date),
     "ip": (r"\d{1,3}(?:\.\d{1,3}){3}", _ip),
     "ssn": (r"\d{3}-\d{2}-\d{4}", _ssn),
-    "phone": (r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}", _phone),
+    "phone": (r"(?:\+|00(?=[1-9]))\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ -]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}", _phone),
     "card": (r"\d(?:[ -]?\d){12,18}", _card),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban),
     "hex": (r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})", _secret),
 }
-_NUMBER = re.compile(r"(?<![\w.@/-])(?=[+(\dA-Fa-f]|[A-Z]{2}\d)(?:" + "|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()) + r")(?![\w@]|[.-]\d|/\d)", re.ASCII)
+_END = r"(?![\w@]|[.-]\d|/\d)"
+_NUMBER = re.compile(r"(?<![\w.@/-])(?=[+(\dA-Fa-f]|[A-Z]{2}\d)(?:" + "|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()) + ")" + _END, re.ASCII)
+_EACH = {k: re.compile(p + _END, re.ASCII) for k, (p, _) in _KINDS.items()}
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"\d", re.ASCII)
 
@@ -211,15 +245,21 @@ def rewrite(text: str, f: Feistel, back: bool = False) -> tuple[str, int]:
     """The text with pseudonyms (or, ``back``, the originals), and how many there are."""
     count = 0
 
-    def number(m: re.Match) -> str:
+    def numbers() -> Iterator[str]:
         nonlocal count
-        for kind, s in m.groupdict().items():
-            if s is not None:
-                y = _KINDS[kind][1](f, s, back)
-                if y is not None:
+        at = 0
+        for m in iter(lambda: _NUMBER.search(text, at), None):
+            yield text[at : m.start()]
+            at, kinds, shown = m.end(), list(_KINDS), m.group()
+            for kind in kinds[kinds.index(m.lastgroup) :]:  # what is no value of the first kind may be one of a later
+                own = m if kind == m.lastgroup else _EACH[kind].match(text, m.start())
+                y = own and _KINDS[kind][1](f, own.group(), back)
+                if y:
                     count += 1
-                    return y
-        return m.group()
+                    at, shown = own.end(), y
+                    break
+            yield shown
+        yield text[at:]
 
     def mail(m: re.Match) -> str:
         nonlocal count
@@ -229,20 +269,22 @@ def rewrite(text: str, f: Feistel, back: bool = False) -> tuple[str, int]:
     if "@" in text:
         text = _MAIL.sub(mail, text)
     if _DIGIT.search(text):
-        text = _NUMBER.sub(number, text)
+        text = "".join(numbers())
     return text, count
 
 
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str | None = None, count_col: str = "pseudonyms") -> DataFrame:
     """``docs`` with pseudonyms in its text and their number in ``count_col``.
 
-    ``key`` defaults to the environment's QUARRY_PII_KEY, or else to a key for
-    tests.  A null text stays null with a count of 0, an empty one empty.  Ids
+    ``key`` defaults to the environment's QUARRY_PII_KEY; without either it raises
+    ValueError, as a known key would let anyone invert the result.  A null text stays null with a count of 0, an empty one empty.  Ids
     are not looked at, so null ids and repeated rows change like any others (and
     repeated rows alike).  Other columns pass through; an existing ``count_col``
     is replaced.  An empty table gives an empty table.
     """
-    secret = (key or os.environ.get("QUARRY_PII_KEY", "key for tests")).encode()
+    secret = (key or os.environ.get("QUARRY_PII_KEY", "")).encode()
+    if not secret:
+        raise ValueError("give a key, or set QUARRY_PII_KEY")
     keep = [c for c in docs.columns if c.lower() != count_col.lower()]
     at = keep.index(text_col)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(count_col, T.IntegerType())])
