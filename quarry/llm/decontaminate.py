@@ -3,9 +3,10 @@
 1. Document frequencies of hashed words over all passages of all texts give the
    inverse document frequencies.
 2. A randomised singular value decomposition of the TF-IDF matrix of all
-   passages: tasks multiply their rows by a random test matrix and back, the
-   sums are added up in a tree of partitions, and a small factorisation on the
-   driver yields the leading right singular vectors.  The matrix is never stored.
+   passages, with one power iteration: tasks multiply their rows by a test matrix
+   and back, the sums are added up in a tree of partitions, and a small
+   factorisation on the driver yields the leading right singular vectors.  The
+   matrix is never stored.
 3. Texts are cut into overlapping passages, projected, and compared by cosine
    with the projected benchmark items, long ones cut into parts no longer than a
    passage: that finds candidates.  Those that hold too little of the part's
@@ -32,7 +33,7 @@ from .textkit import Words
 BITS, RANK, OVER, SEED = 14, 64, 8, 7
 PASSAGE, BLOCK = 48, 12
 COSINE, MASS, LCS, ANSWER, MIN_WORDS = 0.45, 0.3, 0.6, 0.5, 6
-_CHUNKS = 16
+_CHUNKS, _FAN_IN = 16, 32
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -81,22 +82,30 @@ def _scatter_rows(z: np.ndarray, s: np.ndarray, y: np.ndarray, rows: np.ndarray,
         z[s[at]] += y[rows[at]]
 
 
-def _sum_tables(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Add up binary arrays by ``chunk`` in two levels; one array a chunk comes to the driver."""
+def _sum_tables(parts: DataFrame, tasks: int, dtype: str) -> dict[int, np.ndarray]:
+    """Add up binary arrays by ``chunk`` in a tree where a task reads at most
+    ``_FAN_IN`` arrays of one chunk; one array a chunk comes to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for c, t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 x = np.frombuffer(b.as_buffer(), dtype=dtype).astype(np.float64)
-                total[c] = total[c] + x if c in total else x
+                at = (c, t // _FAN_IN)
+                total[at] = total[at] + x if at in total else x
         if total:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "data": pa.array([v.astype(dtype).tobytes() for v in total.values()], pa.binary())})
-
-    level = parts.repartition(4 * _CHUNKS, "chunk", F.pmod(F.xxhash64("task"), F.lit(4))).select("chunk", "data").mapInArrow(add, "chunk int, data binary")
-    rows = level.repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, data binary").collect()
+            chunk, task = zip(*total)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int32()), "task": pa.array(task, pa.int32()), "data": pa.array([v.astype(dtype).tobytes() for v in total.values()], pa.binary())})
+
+    level = parts
+    while True:
+        groups = max(1, -(-tasks // _FAN_IN))
+        level = level.repartition(_CHUNKS * groups, "chunk", F.floor(F.col("task") / _FAN_IN)).mapInArrow(add, "chunk int, task int, data binary")
+        if groups <= 1:
+            break
+        tasks = groups
     out: dict[int, np.ndarray] = {}
-    for r in rows:
+    for r in level.collect():
         x = np.frombuffer(r["data"], dtype=dtype).astype(np.float64)
         out[r["chunk"]] = out[r["chunk"]] + x if r["chunk"] in out else x
     return out
@@ -125,7 +134,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             df[v] += first[-1]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([0], pa.int32()), "task": pa.array([TaskContext.get().partitionId()], pa.int32()), "data": pa.array([df.tobytes()], pa.binary())})
 
-    total = _sum_tables(texts.mapInArrow(run, "chunk int, task int, data binary"), "int64").get(0)
+    total = _sum_tables(texts.mapInArrow(run, "chunk int, task int, data binary"), texts.rdd.getNumPartitions(), "int64").get(0)
     return (total[:v], int(total[v])) if total is not None else (np.zeros(v), 0)
 
 
@@ -133,15 +142,15 @@ def random_matrix(size: int = RANK + OVER, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((1 << BITS, size)).astype(np.float32)
 
 
-def singular_vectors(texts: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leading right singular vectors (slots x rank) and values of the TF-IDF matrix of all passages.
-
-    One pass: Z = A'(A W) for a random W, then the Nystroem factorisation of A'A.
-    """
+def _normal_product(texts: DataFrame, idf: np.ndarray, matrix: np.ndarray | None) -> np.ndarray | None:
+    """A'(A W) of the TF-IDF matrix A of all passages, for ``matrix`` or the random
+    one; None without passages."""
     v, k = 1 << BITS, RANK + OVER
+    sent = None if matrix is None else texts.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.vstack([random_matrix(k) * idf[:, None].astype(np.float32), np.zeros((1, k), np.float32)])
+        w = random_matrix(k) if sent is None else sent.value
+        w = np.vstack([w * idf[:, None].astype(np.float32), np.zeros((1, k), np.float32)])
         weight = np.append(idf, 0.0).astype(np.float32) ** 2
         z = np.zeros((v, k), dtype=np.float32)
         for piece in _pieces(batches, 0):
@@ -166,11 +175,23 @@ def singular_vectors(texts: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.
             }
         )
 
-    got = _sum_tables(texts.mapInArrow(run, "chunk int, task int, data binary"), "float32")
-    if not got:
+    got = _sum_tables(texts.mapInArrow(run, "chunk int, task int, data binary"), texts.rdd.getNumPartitions(), "float32")
+    return np.vstack([got[c].reshape(-1, k) for c in range(_CHUNKS)]) * idf[:, None] if got else None
+
+
+def singular_vectors(texts: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (slots x rank) and values of the TF-IDF matrix of all passages.
+
+    A random W, one power iteration Q R = A'(A W), and the Nystroem factorisation
+    of A'A from A'(A Q): two passes over the texts.
+    """
+    v = 1 << BITS
+    z = _normal_product(texts, idf, None)
+    if z is None or not np.linalg.norm(z):
         return np.zeros((v, RANK), np.float32), np.zeros(RANK)
-    z = np.vstack([got[c].reshape(-1, k) for c in range(_CHUNKS)]) * idf[:, None]
-    omega = random_matrix(k).astype(np.float64)
+    omega = np.linalg.qr(z)[0]
+    z = _normal_product(texts, idf, omega)
+    omega = omega.astype(np.float32).astype(np.float64)  # as the tasks had it
     shift = 1e-6 * np.linalg.norm(z) + 1e-12
     zs = z + shift * omega
     c = omega.T @ zs
