@@ -1,11 +1,12 @@
 """Operator 3: optimal length buckets and token-budget batches.
 
-Token counts of whole texts give a global histogram.  Dynamic programming over
-the distinct lengths chooses the bucket boundaries that minimise total padding
-(exact: the cost is linear in the boundary, so a lower envelope of lines finds
-each optimum in one sweep).  Inside a bucket, rows are ranked without a global
-sort: by slots of a hash, whose counts give each slot's offset; a batch holds as
-many rows of the bucket's length as the token budget allows.
+Whole texts are tokenised once and stored; their lengths give a global
+histogram.  Dynamic programming over the distinct lengths chooses the bucket
+boundaries that minimise total padding (exact: the cost is linear in the
+boundary, so a lower envelope of lines finds each optimum in one sweep).  Inside
+a bucket, rows are ranked without a global sort: by slots of a hash, whose counts
+give each slot's offset; a batch holds as many rows of the bucket's length as the
+token budget allows.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, small_side
-from .tokens import TOKENIZER, encoder
+from .common import cut, small_side, stored
+from .tokens import TOKENIZER, tokenize
 
-BUCKETS, BUDGET, SLOT_ROWS = 16, 65_536, 100_000
+BUCKETS, BUDGET, SLOT_ROWS = 16, 65_536, 20_000
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -66,40 +66,37 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     return out[::-1]
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
-    encode = encoder(tokenizer)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "n_tokens": pa.array([len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()], pa.int32())}
-
-    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t")), run, "doc_id long, n_tokens int", 1)
-
-
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str = TOKENIZER, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """``doc_id, n_tokens, bucket, bucket_length, batch_id, batch_row``, a row for each row of ``docs``.
+    """``doc_id, n_tokens, tokens, bucket, bucket_length, padding, batch_id, batch_row``, a row for each row of ``docs``.
 
-    ``bucket_length`` is the padded length, ``batch_id`` numbers batches over all
-    buckets, ``batch_row`` the rows in a batch from 0.  Every batch but the last
+    ``bucket_length`` is the padded length, ``padding`` what lacks to it,
+    ``batch_id`` numbers batches over all buckets, ``batch_row`` the rows in a
+    batch from 0; the two name a row, whatever its id.  Every batch but the last
     of a bucket has floor(budget / bucket_length) rows, or one row if the length
-    exceeds the budget.  Texts without tokens (null or empty) have nulls for all
-    four.  Rows with a null id and repeated rows are packed like any others;
-    other columns are ignored; an empty table gives an empty table.
+    exceeds the budget.  Rows of a batch lie together (``as_batches`` joins them).
+    Texts without tokens (null or empty) have nulls from ``bucket`` on.  Rows with
+    a null id and repeated rows are packed like any others, wherever their places
+    in the table put them; other columns are ignored; an empty table gives an
+    empty table.
     """
-    counted = cut(token_counts(docs, id_col, text_col, tokenizer))
-    hist = sorted((r["n_tokens"], r["c"]) for r in counted.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("c")).collect())
+    tokens = stored(tokenize(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer), "packing")
+    # the place in the stored table tells equal rows apart
+    place = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("at")]
+    counted = tokens.select("doc_id", "n_tokens", "tokens", *place)
+    hist = sorted((r["n_tokens"], r["c"]) for r in tokens.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("c")).collect())
     bounds = optimal_boundaries([n for n, _ in hist], [c for _, c in hist], buckets)
     edges = np.searchsorted(bounds, [n for n, _ in hist]) if hist else []
     per = [max(1, budget // b) for b in bounds]
     sizes = np.bincount(edges, weights=[c for _, c in hist], minlength=len(bounds)).astype(int) if hist else []
     base = np.concatenate([[0], np.cumsum([-(-s // k) for s, k in zip(sizes, per)])]).astype(int)
     pick = lambda values, i: F.element_at(F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>"), i + 1)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_length", "int"), ("padding", "int"), ("batch_id", "long"), ("batch_row", "int"))]
     if not bounds:
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_length", "int"), ("batch_id", "long"), ("batch_row", "int"))]
-        return counted.select("doc_id", "n_tokens", *nothing)
+        return tokens.select("doc_id", "n_tokens", "tokens", *nothing)
     slots = max(1, math.ceil(max(sizes) / slot_rows))
     bucket = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda acc, b: acc + (b < F.col("n_tokens")).cast("int"))
-    placed = counted.withColumn("bucket", F.when(F.col("n_tokens") > 0, bucket)).withColumn("h", F.xxhash64("doc_id", "n_tokens")).withColumn("slot", F.pmod("h", F.lit(slots)).cast("int"))
-    full = placed.where("bucket is not null")
+    h = F.xxhash64("part", "at", "doc_id")
+    full = counted.where("n_tokens > 0").select("*", bucket.alias("bucket"), h.alias("h"), F.pmod(h, F.lit(slots)).cast("int").alias("slot"))
     if slots > 1:
         offsets = full.groupBy("bucket", "slot").count()
         before = F.sum("count").over(Window.partitionBy("bucket").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
@@ -107,13 +104,27 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buc
         full = full.join(small_side(offsets, 24), ["bucket", "slot"])
     else:
         full = full.withColumn("before", F.lit(0).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("h", "doc_id", "n_tokens")) + F.col("before") - 1
-    ranked = full.withColumn("rank", rank).withColumn("per", pick(per, F.col("bucket")))
+    rank = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("h", "part", "at")) + F.col("before") - 1
+    ranked = full.withColumn("rank", rank).withColumn("per", pick(per, F.col("bucket"))).withColumn("long", pick(bounds, F.col("bucket")).cast("int"))
     done = ranked.select(
-        "doc_id", "n_tokens", "bucket",
-        pick(bounds, F.col("bucket")).cast("int").alias("bucket_length"),
+        "doc_id", "n_tokens", "tokens", "bucket",
+        F.col("long").alias("bucket_length"),
+        (F.col("long") - F.col("n_tokens")).alias("padding"),
         (pick(base, F.col("bucket")) + F.floor(F.col("rank") / F.col("per"))).cast("long").alias("batch_id"),
         F.pmod("rank", "per").cast("int").alias("batch_row"),
     )
-    rest = placed.where("bucket is null").select("doc_id", "n_tokens", "bucket", F.lit(None).cast("int").alias("bucket_length"), F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("int").alias("batch_row"))
-    return done.unionByName(rest)
+    return done.unionByName(tokens.where("n_tokens = 0").select("doc_id", "n_tokens", "tokens", *nothing))
+
+
+def as_batches(packed: DataFrame, pad: int = 0) -> DataFrame:
+    """``batch_id, bucket, bucket_length, doc_ids, lengths, input_ids, mask``, a row a batch of ``pack``.
+
+    ``input_ids`` holds the rows one after the other, each padded to the bucket's
+    length; ``mask`` is true for real tokens.  A batch is as large as the budget,
+    or one row, so a group is bounded.  Rows without a batch are left out.
+    """
+    item = F.struct("batch_row", "doc_id", "n_tokens", "tokens", "padding")
+    one = packed.where("batch_id is not null").groupBy("batch_id", "bucket", "bucket_length").agg(F.sort_array(F.collect_list(item)).alias("r"))
+    filled = lambda x: F.concat(x["tokens"], F.array_repeat(F.lit(pad), x["padding"]))
+    real = lambda x: F.concat(F.array_repeat(F.lit(True), x["n_tokens"]), F.array_repeat(F.lit(False), x["padding"]))
+    return one.select("batch_id", "bucket", "bucket_length", F.col("r.doc_id").alias("doc_ids"), F.col("r.n_tokens").alias("lengths"), F.flatten(F.transform("r", filled)).alias("input_ids"), F.flatten(F.transform("r", real)).alias("mask"))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quarry.llm.packing import optimal_boundaries, pack
+from quarry.llm.packing import as_batches, optimal_boundaries, pack
 
 from .helpers import SF
 
@@ -53,3 +53,21 @@ def test_cases(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken"])
 def test_other_tokenizer(spark, name):
     assert pack(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), tokenizer=name).collect()[0].n_tokens >= 2
+
+
+def test_batches_hold_every_token(spark):
+    from quarry.llm.tokens import encoding
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    twice = docs.unionAll(docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))  # null and repeated rows
+    packed = pack(twice, budget=4_000)
+    batches = as_batches(packed).collect()
+    assert sum(len(b.doc_ids) for b in batches) == packed.where("batch_id is not null").count() and len({b.batch_id for b in batches}) == len(batches)
+    enc, got = encoding("/opt/tokenizers/byte_bpe_multi_50k.tiktoken"), []
+    for b in batches:
+        assert len(b.input_ids) == len(b.mask) == b.bucket_length * len(b.doc_ids) and (len(b.input_ids) <= 4_000 or len(b.doc_ids) == 1)
+        for i, (d, n) in enumerate(zip(b.doc_ids, b.lengths)):
+            row = slice(i * b.bucket_length, (i + 1) * b.bucket_length)
+            assert b.mask[row] == [True] * n + [False] * (b.bucket_length - n)
+            got.append((d is None, enc.decode(b.input_ids[row][:n])))
+    assert sorted(got) == sorted((null, r.text) for null in (False, True) for r in docs.collect() if r.text)

@@ -33,7 +33,7 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 100 and out.columns == ["doc_id", "n_tokens", "bucket", "bucket_length", "batch_id", "batch_row"]
+    assert out.count() > 100 and out.columns == ["doc_id", "n_tokens", "tokens", "bucket", "bucket_length", "padding", "batch_id", "batch_row"]
 
 
 def test_empty_and_odd_documents(spark):
