@@ -62,3 +62,29 @@ def test_cases(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, len(r.text or ""), r.shard or 0) for r in got) == sorted((d is None, d or 0, len(t or ""), s or 0) for d, t, s in rows)
     assert sorted(out.groupBy("_shard").agg(F.count("*").alias("n")).toPandas().n) == [1, 2, 2]
     assert shuffle_to_shards(df.limit(0), 3).count() == 0 and shuffle_to_shards(df, 50).count() == 5
+
+
+def test_one_file_is_many_partitions(spark, tmp_path):
+    """Each row range draws its own row of the matrix, from a single file and whatever the splits."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    out = shuffle_to_shards(df, shard_rows=50, part_rows=64).toPandas()
+    assert sorted(out.groupby("shard").size()) == [50] * 20 and sorted(out.id) == list(range(1000))
+    starts, sizes = np.append(np.arange(0, 1000, 64), 1000), shard_sizes(1000, 20)
+    for p in range(16):
+        rows = out[(out.id >= 64 * p) & (out.id < 64 * p + 64)].sort_values("id")
+        assert rows.shard.tolist() == labels_of(starts, sizes, p, 42).tolist()
+        assert np.bincount(rows.shard, minlength=20).tolist() == matrix_row(starts, sizes, p, 42).tolist()
+    again = shuffle_to_shards(df, shard_rows=50, part_rows=64).toPandas().sort_values("id")
+    assert (again[["shard", "position"]].values == out.sort_values("id")[["shard", "position"]].values).all()
+
+
+def test_the_query_against_a_plain_shuffle(spark):
+    from quarry.llm.queries import op8_sharding
+
+    out = op8_sharding(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    n = len(docs)
+    labels = labels_of(np.array([0, n]), shard_sizes(n, 16), 0, 42)
+    assert out.set_index("doc_id").text.to_dict() == docs.set_index("doc_id").text.to_dict()
+    assert (out.set_index("doc_id").shard.loc[docs.doc_id].to_numpy() == labels).all() and all(sorted(g.position) == list(range(len(g))) for _, g in out.groupby("shard"))
