@@ -33,7 +33,7 @@ from .textkit import Words
 BITS, RANK, OVER, SEED = 14, 64, 8, 7
 PASSAGE, BLOCK = 48, 12
 COSINE, MASS, LCS, ANSWER, MIN_WORDS = 0.45, 0.3, 0.6, 0.5, 6
-_CHUNKS, _FAN_IN = 16, 32
+_CHUNKS, _FAN_IN = 16, 16
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
