@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, array_side, cut, fresh
+from .common import arrow_map, cut, fresh, release, stored
 from .passages import cut_passages
 from .textkit import _tables, mix
 
@@ -152,12 +152,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an existing ``removed_col`` is replaced.  An empty table gives an empty table.
     """
     dead = repeated_runs(docs, id_col, text_col, noise=noise, guarantee=guarantee)
+    release(docs.sparkSession)
     i, t, r = fresh(docs, "dead_id"), fresh(docs, "dead_text"), fresh(docs, "dead_runs")
     text = F.col(f"`{text_col}`")
-    joined = docs.join(array_side(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), r, 32), (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
+    joined = docs.join(dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r)), (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t)), "left")
     kept = F.filter(F.split(text, "\n"), lambda _, k: ~F.exists(F.col(r), lambda x: (k >= x["s"]) & (k <= x["e"])))
     gone = F.aggregate(F.col(r), F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
     named = {text_col: F.when(F.col(r).isNotNull(), F.array_join(kept, "\n")).otherwise(text), removed_col: F.coalesce(gone, F.lit(0))}
     others = [c for c in docs.columns if c.lower() != removed_col.lower()]
     out = joined.select(*[named[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in others], named[removed_col].alias(removed_col))
-    return cut_passages(out, id_col, text_col, noise, guarantee) if inside_lines else out
+    if not inside_lines:
+        return out
+    whole = stored(out, "lines")  # what the passages are searched in, more than once
+    release(docs.sparkSession)
+    return cut_passages(whole, id_col, text_col, noise, guarantee)

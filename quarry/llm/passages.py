@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, array_side, cut, fresh, small_side
+from .common import arrow_map, cut, fresh, release
 from .textkit import Words, _tables, mix, shingles
 
 _NEWLINE = 10
@@ -102,9 +102,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
         of = pa.array(doc)
         return {"w": pa.array(key.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32())}
 
-    # only the texts that hold a repeated gram move
-    keys = small_side(wanted.select("id", "th"), 24)
-    holders = base.join(keys, ["id", "th"], "left_semi").join(array_side(wanted, "hits", 12), ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
+    holders = base.join(wanted, ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
     spots = arrow_map(holders, windows, "w long, id long, th long, at int", 2)
     order = F.row_number().over(Window.partitionBy("w").orderBy("id", "th", "at"))
     later = spots.withColumn("nth", order).where("nth > 1").groupBy("id", "th").agg(F.collect_list("at").alias("ats"))
@@ -135,11 +133,12 @@ def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guaran
     change alike; other columns are passed on; an empty table gives an empty one.
     """
     dead = repeated_passages(docs, id_col, text_col, noise, guarantee)
+    release(docs.sparkSession)
     i, t, r = fresh(docs, "passage_id"), fresh(docs, "passage_text"), fresh(docs, "passage_runs")
     text = F.col(f"`{text_col}`")
     named = dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r))
     same = (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t))
-    keys = small_side(named.select(i, t), 24)  # so that only texts with something to cut move
-    whole = docs.join(keys, same, "left_anti")
-    part = docs.join(keys, same, "left_semi").join(array_side(named, r, 16), same)
+    # two joins over one exchange, so that only texts with something to cut go through Python
+    whole = docs.join(named.select(i, t), same, "left_anti")
+    part = docs.join(named, same)
     return whole.unionAll(part.select(*[_without(text, F.col(r)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))

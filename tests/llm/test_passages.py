@@ -92,3 +92,27 @@ def test_an_earlier_fragment_shields_no_copies(spark):
     got = {r.doc_id: r.text for r in cut_passages(df, "doc_id", "text", 30, 50).collect()}
     assert all(len(got[i].split()) == 40 for i, _ in copies)
     assert all(got[i] == t for i, t in texts.items() if i % 3 < 2)
+
+
+def test_the_query_on_its_whole_table_against_brute_force(spark):
+    """Every word that an earlier equal window of 50 words covers is cut, and no other."""
+    from quarry.llm.queries import op5_line_dedup
+
+    from .helpers import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lines = {r.doc_id: r.text for r in dedup_lines(docs).collect()}  # has a brute force of its own
+    got = {r.doc_id: r.text for r in op5_line_dedup(spark, SF).collect()}
+    assert set(got) == set(lines)
+    seen, cut = set(), 0
+    for i in sorted(lines):
+        w = Words(pa.array([lines[i]])).hashes.tolist()
+        dead = set()
+        for a in range(len(w) - 49):
+            window = tuple(w[a : a + 50])
+            if window in seen:
+                dead |= set(range(a, a + 50))
+            seen.add(window)
+        assert Words(pa.array([got[i]])).hashes.tolist() == [x for k, x in enumerate(w) if k not in dead]
+        cut += len(dead)
+    assert cut > 0
