@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,15 +31,47 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
+    if _marked.get("checkpoints") != sc.getCheckpointDir():
+        _marked["checkpoints"] = sc.getCheckpointDir()
+        until_exit(spark, sc.getCheckpointDir())
     return named
 
 
+_marked: dict[str, str] = {}
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's JVM ends: for what this application alone reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the application in the shared one; it goes when the driver ends."""
+    return until_exit(spark, os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of steps that are over: its
+    cleaner goes by the garbage collection of the driver, which may be hours away."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again, for wide rows."""
+    path = own_folder(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if its counted size is under ``limit``.
 
@@ -47,12 +81,6 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def array_side(df: DataFrame, column: str, item_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Like ``small_side`` for rows that hold an array each: its items are counted too."""
-    size = df.agg(F.sum(F.size(column).cast("long") * item_bytes + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case setting."""
     taken = {c.lower() for c in df.columns}

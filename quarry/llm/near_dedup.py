@@ -1,31 +1,30 @@
 """Operator 10: MinHash near-duplicate detection by a containment ensemble.
 
 A document is a near duplicate of a *superior* one (more shingles, or as many
-and a smaller id) if at least ``threshold`` of its k-word shingles occur there
-and the superior has at most ``ratio`` times as many: a short text quoted in a
-much longer one is no duplicate of it.  With ``any_size`` superiors of any size
-count.  Candidates come from MinHash bands:
-
-* documents are partitioned by the size of their shingle set, at powers of
-  ``ratio``; a partner lies in the same partition or the next one;
-* for each partition, containment at its size bounds converts to the least
-  Jaccard similarity that a wanted pair can have, and bands and rows are tuned
-  for that similarity (``recall`` at the least, far more for closer pairs);
-* documents with equal sets collapse first, so copies cost one row each;
-* inside a bucket a 128-bit sketch drops pairs that cannot reach the threshold
-  and each document meets its likeliest superior; only those that exact
-  containment then leaves without a partner meet all the other superiors of
-  their buckets.  So a group of thousands of copies costs a pair a member, and
-  no bucket is capped;
-* with ``any_size``, documents that are still alone look among all larger sets.
-  Beyond the ratio the Jaccard similarity of a wanted pair falls towards 0 and no
-  banding finds it, but each shingle of the smaller set is still in the larger
-  with the containment's probability.  So the ``PROBES`` least shingles of the
-  smaller set are looked up in the whole sets of the others.  A wanted pair
-  shares so many of them (``least_hits``) that it shares some of the rarest;
-  only those are joined, so a passage that all documents share costs nothing.
-  Bloom filters pick the shingles that move.
+and a smaller id) of any size if at least ``threshold`` of its k-word shingles
+occur there.
 
+* Documents with equal sets collapse first, so copies cost one row each.
+* Documents are partitioned by the size of their shingle set, at powers of
+  ``ratio``; a document looks in the tables of its own partition and the next.
+  For each partition, containment at its size bounds converts to the least
+  Jaccard similarity that a wanted pair can have, and bands and rows are tuned
+  for that similarity (``recall`` at the least, far more for closer pairs).
+* Inside a bucket a 128-bit sketch drops what is unlike and each document meets
+  its likeliest superior, so a group of thousands of copies costs a pair a
+  member, and no bucket is capped.  A sketch of 64 bytes then spares most of the
+  pairs that bands alone brought together the exact check.
+* Whoever is still alone looks among the whole sets of all others.  In far larger
+  sets the Jaccard similarity of a wanted pair falls towards 0 and no banding
+  finds it, but each shingle of the smaller set is still in the larger with the
+  containment's probability.  So the ``PROBES`` least shingles of the smaller set
+  are looked up in an inverted index.  A wanted pair shares so many of them
+  (``least_hits``) that it shares some of the rarest; only those are joined, so a
+  passage that all documents share costs nothing.  This also finds what the bands
+  or the sketches missed.
+
+The index is exchanged as packed arrays by ranges of the shingles' hashes, four
+to five bytes a shingle, so this step has one scan and no broadcast at any size.
 Containment is always computed from the whole texts.
 """
 
@@ -39,13 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, small_side
+from .common import arrow_map, cut, fresh, release, slices, small_side, stored
 from .textkit import Words, mix, reduce_by, shingles
 
 K, THRESHOLD, RATIO, RECALL, HASHES = 5, 0.6, 1.5, 0.92, 72
-_BITS = 128
+_BITS, _BYTES = 128, 64
 PROBES, MISS, COMMON = 32, 0.001, 3
-_FILTER_BYTES, _FILTER_PARTS = 64 << 20, 16
+#: Shingles of a range of the index, and those that a task packs at a time.
+RANGE_ITEMS, _FLUSH = 8_000_000, 2_000_000
+#: Rows of a bucket that one task walks through; larger buckets are split, and their leaders meet afterwards.
+BUCKET_ROWS, _SAMPLE = 100_000, 64
 
 
 def least_jaccard(threshold: float, low: int, high: int, ratio: float) -> float:
@@ -83,7 +85,8 @@ def _unique_sets(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Sorted distinct shingles by document."""
     n = np.diff(off)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((sh, doc))
+    order = np.argsort(sh)
+    order = order[np.argsort(doc[order].astype(np.uint16) if len(n) < 65536 else doc[order], kind="stable")]
     s = sh[order]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
@@ -91,26 +94,38 @@ def _unique_sets(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[new], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _sketch(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words by document: one-bit min-hashes of 128 bins, empty bins borrowing from the next."""
+def _least_by_bin(sh: np.ndarray, off: np.ndarray, bins: int, salt: int) -> np.ndarray:
+    """The least hash in each of ``bins`` classes of a document's shingles, empty classes borrowing from the next."""
     d = len(off) - 1
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    bins = np.full(d * _BITS, full)
-    h = mix(sh ^ np.uint64(0x5851F42D4C957F2D))
+    bits = bins.bit_length() - 1
+    out = np.full(d * bins, full)
+    h = mix(sh ^ np.uint64(salt))
     doc = np.repeat(np.arange(d), np.diff(off))
-    np.minimum.at(bins, doc * _BITS + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
-    bins = bins.reshape(d, _BITS)
+    np.minimum.at(out, doc * bins + (h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1))
+    out = out.reshape(d, bins)
     for _ in range(2):
-        for j in range(_BITS - 1, -1, -1):
-            col, nxt = bins[:, j], bins[:, (j + 1) % _BITS]
+        for j in range(bins - 1, -1, -1):
+            col, nxt = out[:, j], out[:, (j + 1) % bins]
             np.copyto(col, nxt, where=col == full)
-    bit = (mix(bins + np.arange(_BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return mix(out + np.arange(bins, dtype=np.uint64))
+
+
+def _sketch(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words by document: one-bit min-hashes of 128 bins."""
+    bit = (_least_by_bin(sh, off, _BITS, 0x5851F42D4C957F2D) & np.uint64(1)).astype(np.uint8)
     packed = np.packbits(bit, axis=1).view(np.int64)
     return packed[:, 0], packed[:, 1]
 
 
+def _long_sketch(sh: np.ndarray, off: np.ndarray) -> pa.Array:
+    """One-byte min-hashes of 64 bins by document."""
+    rows = (_least_by_bin(sh, off, _BYTES, 0x14057B7EF767814F) & np.uint64(255)).astype(np.uint8)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
 def _signatures(docs: DataFrame, k: int, threshold: float, ratio: float, recall: float, hashes: int) -> DataFrame:
-    """One narrow row a document: id, set size, hash of the set, sketch, band keys."""
+    """One narrow row a document: id, set size, hash of the set, sketches, band keys, the least shingles."""
     rng = np.random.default_rng(20)
     mult = rng.integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plans = {p: plan_of(p, threshold, ratio, recall, hashes) for p in range(0, 120)}
@@ -147,9 +162,11 @@ def _signatures(docs: DataFrame, k: int, threshold: float, ratio: float, recall:
                     bands, r = plans[table]
                     both.append(mix(banded[r][d, :bands] + np.uint64(table * 1_000_003)))
                 keys[d] = np.concatenate(both).view(np.int64)
-        return {"id": batch.column(0), "n": pa.array(n, pa.int32()), "sh": pa.array(set_hash.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        least = sh[np.arange(len(sh)) - np.repeat(off[:-1], n) < PROBES].view(np.int64)
+        probes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, PROBES))]), pa.int32()), pa.array(least))
+        return {"id": batch.column(0), "n": pa.array(n, pa.int32()), "sh": pa.array(set_hash.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "long": _long_sketch(sh, off), "keys": pa.array(keys, pa.list_(pa.int64())), "probes": probes}
 
-    return arrow_map(docs, run, "id long, n int, sh long, a long, b long, keys array<long>", 1)
+    return arrow_map(docs, run, "id long, n int, sh long, a long, b long, long binary, keys array<long>, probes array<long>", 1)
 
 
 def _agree(a: np.ndarray, b: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -164,46 +181,63 @@ def _possible(n: np.ndarray, i: int, js: np.ndarray, agree: np.ndarray, threshol
     return (r <= ratio) & (agree >= _BITS * p - 2.6 * np.sqrt(_BITS * p * (1 - p)))
 
 
-def _bucket_pairs(keyed: DataFrame, threshold: float, ratio: float, everyone: bool) -> DataFrame:
-    """Candidate (x, superior y) pairs.  Rows: key, id, n, a, b, open.  Sorted by
-    key in each partition, so that a bucket is a run of rows; only buckets with
-    an open document count.  ``everyone`` pairs an open document with all its
-    possible superiors, otherwise with the likeliest."""
+def _bucket_pairs(keyed: DataFrame, threshold: float, ratio: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Candidate (x, superior y) pairs.  Rows: key, id, n, a, b.  A document meets
+    the likeliest of its bucket's leaders, which are those that met none.
 
-    def pairs(t: dict[str, np.ndarray], lo: int, hi: int, xs: list, ys: list) -> None:
-        ids, n, a, b, open_ = (t[c][lo:hi] for c in ("id", "n", "a", "b", "open"))
-        if not open_.any():
-            return
+    Keys that a sample shows in far more than ``bucket_rows`` rows are split by
+    id; the leaders of the splits, which are few, then meet in turn.
+    """
+    seen = keyed.where(F.pmod(F.xxhash64("id"), F.lit(_SAMPLE)) == 0).groupBy("key").count()
+    hot = cut(seen.where(F.col("count") * _SAMPLE > 2 * bucket_rows).select("key", F.ceil(F.col("count") * _SAMPLE / bucket_rows).cast("int").alias("splits")))
+    if not hot.take(1):
+        return _leaders(keyed.withColumn("splits", F.lit(None).cast("int")), threshold, ratio).select("x", "y").distinct()
+    split = keyed.join(small_side(hot, 24), "key", "left").withColumn("old", F.col("key")).withColumn("key", F.when(F.col("splits").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(1)), F.col("splits")))))
+    met = cut(_leaders(split, threshold, ratio))
+    again = met.where("y is null").select(F.col("old").alias("key"), F.col("x").alias("id")).join(keyed, ["key", "id"]).withColumn("splits", F.lit(None).cast("int"))
+    return met.where("y is not null").select("x", "y").unionByName(_leaders(again, threshold, ratio).select("x", "y")).distinct()
+
+
+def _leaders(keyed: DataFrame, threshold: float, ratio: float) -> DataFrame:
+    """x, superior y in each bucket; and for splits (not null) the leaders with a null y and the key of old.
+    Sorted by key in each partition, so that a bucket is a run of rows."""
+    if "old" not in keyed.columns:
+        keyed = keyed.withColumn("old", F.lit(None).cast("long"))
+
+    def pairs(t: dict[str, np.ndarray], lo: int, hi: int, xs: list, ys: list) -> np.ndarray:
+        ids, n, a, b = (t[c][lo:hi] for c in ("id", "n", "a", "b"))
         leaders = np.zeros(hi - lo, dtype=np.int64)
         m = 0
         for i in range(hi - lo):
-            js = np.arange(i) if everyone else leaders[:m]
-            hit = False
-            if len(js) and (open_[i] or not everyone):
+            js = leaders[:m]
+            if m:
                 agree = _agree(a, b, i, js)
                 ok = _possible(n, i, js, agree, threshold, ratio)
                 if ok.any():
-                    hit = True
-                    take = js[ok] if everyone else js[[int(np.argmax(np.where(ok, agree, -1)))]]
-                    if open_[i]:
-                        xs.append(np.full(len(take), ids[i]))
-                        ys.append(ids[take])
-            if not hit:
-                leaders[m] = i
-                m += 1
+                    xs.append(ids[i])
+                    ys.append(ids[js[int(np.argmax(np.where(ok, agree, -1)))]])
+                    continue
+            leaders[m] = i
+            m += 1
+        return ids[leaders[:m]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def emit(tab: pa.Table) -> pa.RecordBatch:
-            t = {c: tab.column(c).to_numpy() for c in ("key", "id", "n", "a", "b", "open")}
+            t = {c: tab.column(c).to_numpy() for c in ("key", "id", "n", "a", "b")}
+            parts, old = tab.column("splits").is_valid().to_numpy(), tab.column("old")
             edge = np.flatnonzero(np.concatenate([[True], t["key"][1:] != t["key"][:-1], [True]]))
             xs: list = []
             ys: list = []
-            for g in np.flatnonzero(np.diff(edge) > 1):
-                pairs(t, edge[g], edge[g + 1], xs, ys)
-            cat = lambda v: np.concatenate(v) if v else np.empty(0, np.int64)
-            return pa.RecordBatch.from_pydict({"x": pa.array(cat(xs)), "y": pa.array(cat(ys))})
+            lead: list = []
+            keys: list = []
+            for g in np.flatnonzero((np.diff(edge) > 1) | parts[edge[:-1]]):
+                first = pairs(t, edge[g], edge[g + 1], xs, ys)
+                if parts[edge[g]]:
+                    lead += first.tolist()
+                    keys += [old[int(edge[g])].as_py()] * len(first)
+            return pa.RecordBatch.from_pydict({"x": pa.array([*xs, *lead], pa.int64()), "y": pa.array([*ys, *[None] * len(lead)], pa.int64()), "old": pa.array([*[None] * len(xs), *keys], pa.int64())})
 
         for batch in batches:
             tab = pa.Table.from_batches([batch])
@@ -219,8 +253,8 @@ def _bucket_pairs(keyed: DataFrame, threshold: float, ratio: float, everyone: bo
         if held is not None and held.num_rows:
             yield emit(held)
 
-    ordered = keyed.repartition("key").sortWithinPartitions("key", F.desc("n"), "id")
-    return ordered.mapInArrow(run, "x long, y long").distinct()
+    ordered = keyed.select("key", "id", "n", "a", "b", "splits", "old").repartition("key").sortWithinPartitions("key", F.desc("n"), "id")
+    return ordered.mapInArrow(run, "x long, y long, old long")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -271,101 +305,147 @@ def least_hits(n: int, threshold: float) -> int:
     return PROBES
 
 
-def _slots(keys: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Part of the filter and two bits in it for each key."""
-    with np.errstate(over="ignore"):
-        h, g = mix(keys ^ np.uint64(0x2545F4914F6CDD1D)), mix(keys + np.uint64(0x632BE59BD9B4E019))
-    low = np.uint64(bits - 1)
-    return (h >> np.uint64(48)).astype(np.int64) % parts, [(h & low).astype(np.int64), (g & low).astype(np.int64)]
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float, ratio: float) -> DataFrame:
+    """Pairs whose long sketches do not rule the threshold out (3.3 deviations); short sets always pass."""
+
+    @F.arrow_udf("boolean")
+    def possible(x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, _BYTES) for v in (x, y))
+        n, m = nx.to_numpy(zero_copy_only=False), ny.to_numpy(zero_copy_only=False)
+        j = threshold / (np.minimum(ratio, m / n) + 1 - threshold)
+        return pa.array((n < _BYTES) | ((a == b).sum(axis=1) >= _BYTES * j - 3.3 * np.sqrt(_BYTES * j * (1 - j))))
+
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("long").alias(f"l{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(possible("lx", "ly", "nx", "ny")).select("x", "y")
 
 
-def _filter_of(probes: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter of the column ``key``: 16 to 32 bits a key while they fit ``_FILTER_BYTES``.
-    Parts are built in tasks; beyond that size it only lets more shingles through."""
-    bits = 1 << max(10, min((_FILTER_BYTES * 8 // _FILTER_PARTS).bit_length() - 1, (16 * count // _FILTER_PARTS).bit_length()))
+def _ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, by its leading 32 bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
-    def place(batch: pa.RecordBatch) -> dict:
-        part, at = _slots(batch.column(0).to_numpy().view(np.uint64), _FILTER_PARTS, bits)
-        return {"part": pa.array(np.tile(part, 2), pa.int32()), "bit": pa.array(np.concatenate(at), pa.int32())}
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, np.ndarray] = {}
+def _packed(df: DataFrame, items, ranges: int, kind: int, column: int | None) -> DataFrame:
+    """range, kind, keys, ids, runs: ``items(batch) -> (keys, ids)`` packed by range, many rows of ``df`` at a time.
+
+    Within a range 32 bits of a hash tell shingles apart: with ``RANGE_ITEMS`` in
+    it one in 500 meets another by chance, which is one hit of the many that a
+    pair needs, and pairs are checked from their texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(v) for v in zip(*held))
+            held.clear()
+            at = _ranges_of(keys, ranges)
+            order = np.argsort(at.astype(np.uint16) if ranges < 65536 else at, kind="stable")
+            keys, ids, at = keys[order].astype(np.uint32), ids[order], at[order]
+            edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+            out: dict[str, list] = {"keys": [], "ids": [], "runs": []}
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = ids[a:b]  # a document's shingles follow each other
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                for name, v in (("keys", keys[a:b]), ("ids", own[first]), ("runs", np.diff(np.append(first, b - a)).astype(np.uint32))):
+                    out[name].append(v.tobytes())
+            return pa.RecordBatch.from_pydict({"range": pa.array(at[edge[:-1]], pa.int32()), "kind": pa.array([kind] * (len(edge) - 1), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+        size = 0
         for batch in batches:
-            part, bit = (c.to_numpy() for c in batch.columns)
-            for p in np.unique(part).tolist():
-                own = have.setdefault(p, np.zeros(bits // 8, dtype=np.uint8))
-                b = bit[part == p]
-                np.bitwise_or.at(own, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
-        if have:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(have), pa.int32()), "data": pa.array([v.tobytes() for v in have.values()], pa.binary())})
-
-    out = np.zeros((_FILTER_PARTS, bits // 8), dtype=np.uint8)
-    for r in arrow_map(probes.select("key"), place, "part int, bit int").repartition(_FILTER_PARTS, "part").mapInArrow(build, "part int, data binary").collect():
-        out[r["part"]] = np.frombuffer(r["data"], dtype=np.uint8)
-    return out
-
-
-def _met(texts: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """key, y, n, sh: the shingles of all texts that pass the filter of the column ``key``."""
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_of(probes, probes.count()))
-
-    def scan(batch: pa.RecordBatch) -> dict:
-        table = shared.value
-        sh, off = _unique_sets(*shingles(Words(batch.column(1)), k))
-        n = np.diff(off)
-        part, at = _slots(sh, len(table), table.shape[1] * 8)
-        live = np.ones(len(sh), dtype=bool)
-        for b in at:
-            live &= (table[part, b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
-        own = np.repeat(np.arange(len(n)), n)[live]
-        return {"key": pa.array(sh[live].view(np.int64)), "y": batch.column(0).take(pa.array(own)), "n": pa.array(n[own], pa.int32()), "sh": pa.array(_set_hash(sh, off)[own].view(np.int64))}
+            for piece in slices(batch, column) if column is not None else [batch]:
+                got = items(piece)
+                if len(got[0]):
+                    held.append(got)
+                    size += len(got[0])
+                if size >= _FLUSH:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-    return arrow_map(texts, scan, "key long, y long, n int, sh long", 1)
+    return df.mapInArrow(run, "range int, kind int, keys binary, ids binary, runs binary")
 
 
-def _set_hash(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return reduce_by(np.add, mix(sh + np.uint64(11)), off, np.uint64(0))
+def _unpack(keys, ids, runs) -> tuple[np.ndarray, np.ndarray]:
+    k, i, r = (np.frombuffer(v, t) for v, t in ((keys, np.uint32), (ids, np.int64), (runs, np.uint32)))
+    return k, np.repeat(i, r)
 
 
-def _larger_pairs(texts: DataFrame, sets: DataFrame, alone: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(x, superior y, hits) of any sizes, for the sets ``alone`` (id, n, sh) among ``sets``."""
+def _met(texts: DataFrame, probes: DataFrame, ranges: int, k: int) -> DataFrame:
+    """key, id, df: for ``probes`` (id, probes) each probe that several texts hold and
+    their number; and, with a null df, each text (id) that holds such a key."""
 
-    def least(batch: pa.RecordBatch) -> dict:
-        sh, off = _unique_sets(*shingles(Words(batch.column(1)), k))
-        n = np.diff(off)
-        first = sh[np.arange(len(sh)) - np.repeat(off[:-1], n) < PROBES].view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, PROBES))]), pa.int32()), pa.array(first))
-        return {"id": batch.column(0), "n": pa.array(n, pa.int32()), "sh": pa.array(_set_hash(sh, off).view(np.int64)), "probes": lists}
-
-    own = cut(arrow_map(texts, least, "id long, n int, sh long, probes array<long>", 1).join(small_side(cut(alone), 24), ["id", "n", "sh"], "left_semi").dropDuplicates(["id"]).select("id", "n", "probes"))
-    rounds = max(1, math.ceil(own.count() * PROBES / _FILTER_BYTES))  # so that a filter has 8 bits a key at least
-    need = F.array(*[F.lit(least_hits(i, threshold)) for i in range(1, PROBES + 2)])
-    out = None
-    for r in range(rounds):
-        some = own.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
-        probes = some.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode("probes").alias("key"))
-        # a key of one text is in no other
-        often = cut(_met(texts, probes, k).groupBy("key").count().where("count > 1"))
-        by_set = probes.join(small_side(often, 24), "key", "left").groupBy("x", "nx").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("c"), "key"))).alias("p"))
-        least_of = F.element_at(need, F.least(F.col("nx"), F.lit(PROBES + 1)))
-        # of a wanted pair's hits all but need - common can be among the probes left out
-        ask = by_set.withColumn("common", F.least(F.lit(COMMON), least_of)).select("x", "nx", "common", F.explode(F.filter(F.slice("p", 1, F.size("p") - least_of + F.col("common")), lambda z: z["c"] > 1)["key"]).alias("key"))
-        ask = cut(ask)
-        held = _met(texts, ask.select("key").distinct(), k).join(small_side(sets.select(F.col("rep").alias("y"), "n", "sh"), 24), ["y", "n", "sh"], "left_semi").select("key", "y", F.col("n").alias("ny")).distinct()
-        superior = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
-        pairs = cut(ask.join(held, "key").where(superior).groupBy("x", "common", "y").agg(F.count("*").alias("hits")).where("hits >= common").select("x", "y", "hits"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def _alone(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` whose id has no superior yet."""
-    return rows.join(small_side(edges.select(F.col("x").alias("id")).distinct(), 16), "id", "left_anti")
+    def of_texts(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        sh, off = _unique_sets(*shingles(Words(piece.column(1)), k))
+        return sh, np.repeat(piece.column(0).to_numpy(), np.diff(off))
+
+    def of_probes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(1)
+        return lists.flatten().to_numpy().view(np.uint64), np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, keys, hits = -1, [], None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if not hits:
+                return
+            at, ids = (np.concatenate(v) for v in zip(*hits))
+            df = np.bincount(at, minlength=len(keys))
+            own, who = (np.concatenate(v) for v in zip(*asked))
+            place = np.searchsorted(keys, own)
+            asks, holds = df[place] > 1, df[at] > 1
+            high = np.uint64(now) << np.uint64(32)  # with the range a key is one of the whole index
+            out = [(own[asks], who[asks], df[place[asks]]), (keys[at[holds]], ids[holds], None)]
+            for key, who, n in out:
+                for a in range(0, len(key), 1 << 17):
+                    b = a + (1 << 17)
+                    yield pa.RecordBatch.from_pydict({"key": pa.array((key[a:b].astype(np.uint64) | high).view(np.int64)), "id": pa.array(who[a:b]), "df": pa.array(n[a:b], pa.int64()) if n is not None else pa.nulls(len(key[a:b]), pa.int64())})
+
+        for batch in batches:
+            for i, (r, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if r != now:
+                    yield from ended()
+                    now, asked, keys, hits = r, [], None, []
+                own, ids = _unpack(*(batch.column(c)[i].as_buffer() for c in (2, 3, 4)))
+                if kind == 0:
+                    asked.append((own, ids))
+                elif asked:
+                    if keys is None:
+                        keys = np.unique(np.concatenate([a for a, _ in asked]))
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    live = keys[at] == own
+                    hits.append((at[live].astype(np.int32), ids[live]))
+        yield from ended()
+
+    both = _packed(probes, of_probes, ranges, 0, None).unionByName(_packed(texts, of_texts, ranges, 1, 1))
+    return both.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(run, "key long, id long, df long")
+
+
+def _larger_pairs(texts: DataFrame, sets: DataFrame, alone: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(x, superior y) of any sizes, for the sets ``alone`` (rep, n, probes; a part of ``sets``)."""
+    total = texts.sparkSession.sparkContext.defaultParallelism, sets.agg(F.sum(F.col("n").cast("long") * F.col("copies"))).first()[0] or 0
+    ranges = max(total[0], math.ceil(total[1] / RANGE_ITEMS))
+    met = cut(_met(texts, alone.select(F.col("rep").alias("id"), "probes"), ranges, k))
+    m = F.least(F.col("nx"), F.lit(PROBES))
+    need = F.element_at(F.array(*[F.lit(least_hits(i, threshold)) for i in range(1, PROBES + 2)]), F.least(F.col("nx"), F.lit(PROBES + 1)))
+    asked = met.where("df is not null").join(alone.select(F.col("rep").alias("id"), F.col("n").alias("nx")), "id")
+    by_set = asked.groupBy(F.col("id").alias("x"), "nx").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p")).withColumn("common", F.least(F.lit(COMMON), need))
+    # of a wanted pair's hits all but need - common can be among the probes left out; those that one text holds come first
+    ask = by_set.select("x", "nx", "common", F.explode(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - need + F.col("common")))["key"]).alias("key"))
+    held = met.where("df is null").select("key", F.col("id").alias("y")).distinct()
+    shared = ask.join(held, "key").where("x <> y").groupBy("x", "nx", "common", "y").agg(F.count("*").alias("hits")).where("hits >= common")
+    sized = shared.join(sets.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y")
+    superior = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    return cut(sized.where(superior).select("x", "y"))
+
+
+def _alone(rows: DataFrame, edges: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` has no superior yet."""
+    return rows.join(edges.select(F.col("x").alias(column)).distinct(), column, "left_anti")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, threshold: float = THRESHOLD, ratio: float = RATIO, recall: float = RECALL, hashes: int = HASHES, any_size: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, threshold: float = THRESHOLD, ratio: float = RATIO, recall: float = RECALL, hashes: int = HASHES
 ) -> DataFrame:
     """Near-duplicate groups: ``doc_id, group_id, container_id, containment, n_shingles, keep``, a row an id.
 
@@ -374,8 +454,6 @@ def near_duplicates(
     whether it is the document itself; so one document of each group is kept.
     Exact copies have containment 1 in the smallest id of the copies.
 
-    ``any_size`` lifts ``ratio``: a superior of any size contains a document.
-
     Null and empty texts, and texts without words, have no shingles: they are
     kept, alone in their group.  Rows with a null id cannot be named and are
     left out.  Rows that share an id share its verdict: the largest of their
@@ -383,25 +461,27 @@ def near_duplicates(
     An empty table gives an empty table.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    raw = _signatures(texts, k, threshold, ratio, recall, hashes)
-    sig = cut(raw.where("n > 0").groupBy("id").agg(F.max(F.struct("n", "sh", "a", "b", "keys")).alias("s")).select("id", "s.*"))
-    sets = cut(sig.groupBy("n", "sh").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("a", "b", "keys"), "id").alias("s")))
-    keyed = sets.select(F.explode("s.keys").alias("key"), F.col("rep").alias("id"), "n", "s.a", "s.b", F.lit(True).alias("open"))
-    found = cut(_verify(texts, _bucket_pairs(keyed, threshold, ratio, False), k, threshold))
-    # those that are still alone meet all the other superiors of their buckets
-    settled = found.select(F.col("x").alias("id"), F.lit(False).alias("open2")).distinct()
-    again = keyed.join(small_side(settled, 16), "id", "left").withColumn("open", F.coalesce("open2", F.lit(True))).drop("open2")
-    rest = cut(_bucket_pairs(again, threshold, ratio, True))
-    edges = found.unionByName(_verify(texts, rest, k, threshold)) if rest.take(1) else found
-    if any_size:
-        edges = cut(edges)
-        larger = cut(_larger_pairs(texts, sets, _alone(sets.select(F.col("rep").alias("id"), "n", "sh"), edges), k, threshold))
-        likeliest = larger.groupBy("x").agg(F.max_by("y", F.struct("hits", "y")).alias("y"))
-        edges = cut(edges.unionByName(_verify(texts, likeliest, k, threshold)))
-        others = larger.select(F.col("x").alias("id"), "y").join(likeliest.select(F.col("x").alias("id"), "y"), ["id", "y"], "left_anti")
-        others = cut(_alone(others, edges).select(F.col("id").alias("x"), "y"))
-        if others.take(1):
-            edges = edges.unionByName(_verify(texts, others, k, threshold))
+    raw = stored(_signatures(texts, k, threshold, ratio, recall, hashes), "signatures", "lz4")
+    sig = cut(raw.where("n > 0").groupBy("id").agg(F.max(F.struct("n", "sh")).alias("s")).select("id", "s.*"))
+    sets = cut(sig.groupBy("n", "sh").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+
+    def of_sets(*columns: str) -> DataFrame:
+        """Columns of the signatures, a row a set."""
+        named = sets.select(F.col("rep").alias("id"), "n", "sh")
+        return raw.select("id", "n", "sh", *columns).join(named, ["id", "n", "sh"]).dropDuplicates(["id", "n", "sh"]).drop("sh")
+
+    keyed = of_sets("keys", "a", "b").select(F.explode("keys").alias("key"), "id", "n", "a", "b")
+    likely = cut(_alike(_bucket_pairs(keyed, threshold, ratio), of_sets("long"), threshold, ratio))
+    del keyed
+    release(docs.sparkSession)
+    edges = cut(_verify(texts, likely, k, threshold))
+    release(docs.sparkSession)
+    # those that are still alone look among all larger sets
+    alone = cut(_alone(of_sets("probes").select(F.col("id").alias("rep"), "n", "probes"), edges, "rep"))
+    larger = _larger_pairs(texts, sets, alone, k, threshold)
+    release(docs.sparkSession)
+    edges = cut(edges.unionByName(_verify(texts, larger, k, threshold)))
+    release(docs.sparkSession)
     up = edges.groupBy("x").agg(F.max(F.struct("containment", (-F.col("y")).alias("o"))).alias("m")).select(F.col("x").alias("id"), (-F.col("m.o")).alias("up"), F.col("m.containment").alias("containment"))
     link = cut(up)
     root = link.select("id", F.col("up").alias("root"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 
-from quarry.llm.near_dedup import K, RATIO, THRESHOLD, bounds_of, drop_near_duplicates, least_jaccard, near_duplicates, partition_of, tune
+from quarry.llm.near_dedup import K, THRESHOLD, bounds_of, drop_near_duplicates, least_jaccard, near_duplicates, partition_of, tune
 from quarry.llm.textkit import Words, shingles
 
 from .helpers import SF
@@ -27,7 +27,7 @@ def brute(rows):
     pairs = set()
     for (a, b), c in common.items():
         x, y = sorted((a, b), key=lambda i: (len(sets[i]), -i))
-        if c >= THRESHOLD * len(sets[x]) and len(sets[y]) <= RATIO * len(sets[x]):
+        if c >= THRESHOLD * len(sets[x]):
             pairs.add((x, y))
     return {x for x, _ in pairs}, pairs
 
@@ -47,14 +47,15 @@ def test_tuning():
         assert low <= n <= high
 
 
-def check(spark, rows, recall=0.9):
+def check(spark, rows, recall=0.99):
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).toPandas()
     gone, pairs = brute(rows)
     dropped = set(out.doc_id[~out.keep])
     assert sorted(out.doc_id) == sorted({i for i, _ in rows})
     assert dropped <= gone and len(dropped) >= recall * len(gone)
     group = dict(zip(out.doc_id, out.group_id))
-    assert sum(group[x] == group[y] for x, y in pairs) >= recall * len(pairs)
+    linked_pairs = sum(group[x] == group[y] for x, y in pairs)
+    assert linked_pairs >= 0.8 * len(pairs)  # a document joins the group of one superior
     assert (out[out.keep].doc_id == out[out.keep].group_id).all() and out[out.keep].group_id.nunique() == out.group_id.nunique()
     linked = out[out.container_id.notna()]
     assert all((x, int(y)) in pairs or c == 1.0 for x, y, c in zip(linked.doc_id, linked.container_id, linked.containment))
@@ -92,11 +93,11 @@ def test_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, gone_id string").selectExpr("*", "1 as id", "2 as keep")
     out = {r.doc_id: r for r in near_duplicates(df).collect()}
     assert set(out) == set(range(1, 9))
-    assert out[1].keep and not out[2].keep and out[2].group_id == 1 and out[2].containment == 1.0
-    assert all(out[i].keep and out[i].n_shingles == 0 for i in (3, 4, 5)) and out[6].keep and not out[7].keep and out[8].keep
+    assert out[8].keep and not out[1].keep and out[1].container_id == 8 and not out[2].keep and out[2].container_id == 1 and out[2].group_id == 8 and out[2].containment == 1.0
+    assert all(out[i].keep and out[i].n_shingles == 0 for i in (3, 4, 5)) and out[6].keep and not out[7].keep
     left = drop_near_duplicates(df)
     assert left.columns == df.columns
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 0, 1, 3, 4, 5, 6, 8]
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 0, 3, 4, 5, 6, 8]
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near_duplicates(df.limit(0)).count() == 0
 
 
@@ -115,7 +116,37 @@ def test_any_size_finds_what_far_larger_documents_contain(spark):
         rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(copy))]
         parts.add(2 * i + 1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = near_duplicates(df, any_size=True).toPandas()
+    out = near_duplicates(df).toPandas()
     assert set(out.doc_id[~out.keep]) == parts
     assert all(g == x - x % 2 for x, g in zip(out.doc_id, out.group_id))
-    assert near_duplicates(df.limit(0), any_size=True).count() == 0
+    assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_split_and_lose_nothing(spark, monkeypatch):
+    from quarry.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "_SAMPLE", 4)
+    whole = N._bucket_pairs
+    monkeypatch.setattr(N, "_bucket_pairs", lambda keyed, t, r: whole(keyed, t, r, bucket_rows=20))
+    rng = random.Random(8)
+    rows = []
+    for group in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(1000 * group + i, edited(rng, base, 0.02)) for i in range(400)]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).toPandas()
+    assert out.keep.sum() == 3 and out.group_id.nunique() == 3
+
+
+def test_packed_ranges_keep_every_hash(spark):
+    import numpy as np
+
+    from quarry.llm.near_dedup import _packed, _ranges_of, _unpack
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k.view(np.int64)), i) for i, k in enumerate(keys)], "key long, id long").repartition(3)
+    rows = _packed(df, lambda b: (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()), 50, 1, None).collect()
+    got = {}
+    for r in rows:
+        got |= {int(i): (r["range"], int(k)) for k, i in zip(*_unpack(r["keys"], r["ids"], r["runs"]))}
+    assert got == {i: (int(_ranges_of(keys[i : i + 1], 50)[0]), int(k) & (2**32 - 1)) for i, k in enumerate(keys)}
