@@ -42,3 +42,13 @@ def test_own_template(spark):
     t = Template(moves={"start": {"user": "asked"}, "asked": {"tool": "asked", "assistant": "done"}}, final=("done",), segments={"user": (("Q {text}", False),), "tool": (("T {text}", False),), "assistant": (("A ", False), ("{text}", True))})
     df = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "tool", "t"), (1, 2, "tool", "t"), (1, 3, "assistant", "a")], "conv_id long, turn long, role string, text string")
     assert [(r.text, r.loss) for r in format_chats(df, t).orderBy("segment").collect()] == [("Q u", False), ("T t", False), ("T t", False), ("A ", False), ("a", True)]
+
+
+def test_conversations_in_stretches_against_sql(spark):
+    """With a low limit every conversation is cut, and the states are folded over the stretches."""
+    pdf = pd.DataFrame(CASES, columns=COLS)
+    df = spark.createDataFrame(CASES, "conv_id long, turn long, role string, text string")
+    same_as_duckdb(format_chats(df, long_turns=1), ORACLE, conversations=pdf)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    hot = turns.unionByName(spark.range(0, 900).selectExpr("-1 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text"))
+    same_as_duckdb(format_chats(hot, long_turns=100), ORACLE, conversations=hot.toPandas())
