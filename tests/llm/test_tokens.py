@@ -32,9 +32,15 @@ def test_layout(spark, tmp_path, coding, expected):
     col = meta.row_group(0).column(2)
     assert col.path_in_schema.startswith("tokens") and any(expected in e or e == "PLAIN_DICTIONARY" and coding == "dictionary" for e in col.encodings)
     assert col.has_offset_index and col.has_column_index
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
     some = read_tokens(spark, path, [3, 1005])
     assert sorted(r.doc_id for r in some.collect()) == [3, 1005]
-    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+    pushed = lambda df: df._jdf.queryExecution().toString().split("PushedFilters: [")[1]
+    assert "(doc_id,3)" in pushed(some) and "(doc_id,1005)" in pushed(some)
+    many = read_tokens(spark, path, list(range(0, 60, 3)) + [1100])
+    assert sorted(r.doc_id for r in many.collect()) == [*range(0, 60, 3), 1100] and read_tokens(spark, path, []).count() == 0
+    assert all(f"(doc_id,{i})" in pushed(many) for i in (0, 30, 57, 1100))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     light = read_tokens(spark, path, metadata_only=True)
     assert "tokens:" not in light._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].replace("n_tokens:", "") and light.count() == docs.count()
 
