@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_side
 from .shrink import moments_prior
+from .urls import host_of
 
 STRICT, REJECT = 0.4, 0.7
 #: Limits: share of words, distinct words, distinct lines.
@@ -59,16 +60,17 @@ def host_verdicts(flagged: DataFrame, host: str, hard: str, strict: float = STRI
     return cut(hosts.withColumn("host_rate", rate).withColumn("host_verdict", verdict))
 
 
-def host_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", strict: float = STRICT, reject: float = REJECT) -> DataFrame:
+def host_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", url_col: str | None = None, strict: float = STRICT, reject: float = REJECT) -> DataFrame:
     """``doc_id, host, hard_failures, soft_failures, host_docs, host_failed, host_rate, host_verdict, keep``, a row for each row of ``docs``.
 
-    A null text counts as empty; an empty text breaks the first rule (fewer than
+    The host is ``host_col``, or that of the URL in ``url_col``.  A null text counts as empty; an empty text breaks the first rule (fewer than
     two words).  A null host is a host of its own.  Rows with a null id and
     repeated rows are judged like any others and count in their host.  Other
     columns are ignored; an empty table gives an empty table.
     """
     m = measures(F.col("t"))
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    host = F.col(f"`{host_col}`").cast("string") if url_col is None else host_of(F.col(f"`{url_col}`"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), host.alias("host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     measured = base.select("doc_id", "host", *[c.alias(k) for k, c in m.items()])
     named = {k: F.col(k) for k in m}
     flagged = cut(measured.select("doc_id", "host", failures(named, *HARD).alias("hard_failures"), failures(named, *SOFT).alias("soft_failures")))

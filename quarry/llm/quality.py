@@ -12,15 +12,19 @@ path against the global rate.  A document is kept if its posterior is at least
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, small_side
+from .common import arrow_map, cut, fresh, small_side, stored
 from .shrink import moments_prior
 from .textkit import Words
+from .urls import host_of, path_of
 
 SAMPLE_ROWS, WEIGHT, THRESHOLD, TOXIC = 20_000, 0.5, 0.5, 0.5
 _BITS = 20
@@ -119,9 +123,8 @@ def _lexical(hits: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(pos), np.minimum(pos / np.maximum(n, 1), 3), np.log1p(-low) / np.log1p(np.maximum(n, 1))])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> pd.DataFrame:
-    """Features of at most ``sample_rows`` labelled ids (those with the
-    least hash), in a fixed order."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
+    """Features of at most ``sample_rows`` labelled ids (those with the least hash)."""
     picked = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
@@ -139,8 +142,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
             "slots": pa.array([s.astype(np.int32).tobytes() for s in sets], pa.binary()), "counts": pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary()),
         }
 
-    got = arrow_map(rows, run, "id long, q int, t int, x array<double>, slots binary, counts binary", 1).toPandas()
-    return got.assign(size=got.slots.map(len)).sort_values(["id", "size"], kind="stable").reset_index(drop=True)
+    return arrow_map(rows, run, "id long, q int, t int, x array<double>, slots binary, counts binary", 1)
 
 
 def heads(got: pd.DataFrame) -> dict:
@@ -168,8 +170,19 @@ def heads(got: pd.DataFrame) -> dict:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
     """The two heads, from at most ``sample_rows`` labelled ids (those with the
     least hash).  Labels with a null id or class are left out; of several labels
-    of an id the largest counts.  A head without both classes is constant."""
-    return heads(_sample(docs, labels, id_col, text_col, sample_rows))
+    of an id the largest counts.  A head without both classes is constant.  One
+    task fits them, from the features of the sample in a fixed order; the driver
+    gets the model alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.to_pandas() for b in batches]
+        got = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("id", "q", "t", "x", "slots", "counts")})
+        got = got.assign(size=got.slots.map(len)).sort_values(["id", "size", "slots"], kind="stable").reset_index(drop=True)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(heads(got))], pa.binary())})
+
+    sample = _sample(docs, labels, id_col, text_col, sample_rows)
+    (row,) = sample.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(row["model"])
 
 
 def probabilities(model: dict, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,11 +229,15 @@ def posteriors(scored: DataFrame, host: str, path: str, p: str) -> tuple[DataFra
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS, weight: float = WEIGHT, threshold: float = THRESHOLD, toxic: float = TOXIC, narrow: bool = True
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", url_col: str | None = None, sample_rows: int = SAMPLE_ROWS, weight: float = WEIGHT, threshold: float = THRESHOLD, toxic: float = TOXIC, narrow: bool = True
 ) -> DataFrame:
     """``doc_id, host, path, p_document, host_rate, path_rate, p_quality, p_toxic, keep``, a row for
     each row of ``docs``; with ``narrow=False`` the columns of ``docs`` and a boolean in ``quality_keep``.
 
+    Host and path are ``host_col`` and ``path_col``, or the host and first folder
+    of the URL in ``url_col``.  The strengths of the priors are held in 2 to 1000
+    (``shrink.moments_prior``).
+
     Null and empty texts, and texts without words, have probability 0 and are
     rejected.  Null hosts and paths are a host and a path of their own.  Rows
     with a null id and repeated rows are classified like any others.  Columns
@@ -232,9 +249,10 @@ def classify(
     if not len(model["toxic"]["slots"]) and model["toxic"]["head"]["b"] > 6:
         model["toxic"]["head"]["b"] = -6.9
     p, h, q = fresh(docs, "quality_scores"), fresh(docs, "quality_host"), fresh(docs, "quality_path")
-    scored = docs.withColumn(p, _scores(model)(F.col(f"`{text_col}`"))).withColumn(h, F.col(f"`{host_col}`").cast("string")).withColumn(q, F.col(f"`{path_col}`").cast("string"))
-    if narrow:
-        scored = cut(scored.select(F.col(f"`{id_col}`").alias("doc_id"), h, q, p))
+    host, path = (F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")) if url_col is None else (host_of(F.col(f"`{url_col}`")), path_of(F.col(f"`{url_col}`")))
+    scored = docs.withColumn(p, _scores(model)(F.col(f"`{text_col}`"))).withColumn(h, host).withColumn(q, path)
+    # the model runs once over each text
+    scored = cut(scored.select(F.col(f"`{id_col}`").alias("doc_id"), h, q, p)) if narrow else stored(scored, "scored")
     rates, mu = posteriors(scored.select(h, q, F.col(p)[0].alias("p")), h, q, "p")
     r = [fresh(docs, c) for c in ("rate_host", "rate_path", "rate_of_host", "rate_of_path")]
     table = small_side(rates.select(*[F.col(c).alias(a) for c, a in zip(("host", "path", "host_rate", "path_rate"), r)]), 96)
