@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_side, stored
 from .tokens import TOKENIZER, tokenize
 
-BUCKETS, BUDGET, SLOT_ROWS = 16, 65_536, 20_000
+BUCKETS, BUDGET, SLOT_TOKENS = 16, 65_536, 2_000_000
 
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -66,7 +66,7 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     return out[::-1]
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str = TOKENIZER, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str = TOKENIZER, slot_tokens: int = SLOT_TOKENS) -> DataFrame:
     """``doc_id, n_tokens, tokens, bucket, bucket_length, padding, batch_id, batch_row``, a row for each row of ``docs``.
 
     ``bucket_length`` is the padded length, ``padding`` what lacks to it,
@@ -93,11 +93,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buc
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_length", "int"), ("padding", "int"), ("batch_id", "long"), ("batch_row", "int"))]
     if not bounds:
         return tokens.select("doc_id", "n_tokens", "tokens", *nothing)
-    slots = max(1, math.ceil(max(sizes) / slot_rows))
+    slots = [math.ceil(s * b / slot_tokens) for s, b in zip(sizes, bounds)]  # a task ranks about that many tokens
     bucket = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda acc, b: acc + (b < F.col("n_tokens")).cast("int"))
     h = F.xxhash64("part", "at", "doc_id")
-    full = counted.where("n_tokens > 0").select("*", bucket.alias("bucket"), h.alias("h"), F.pmod(h, F.lit(slots)).cast("int").alias("slot"))
-    if slots > 1:
+    full = counted.where("n_tokens > 0").select("*", bucket.alias("bucket"), h.alias("h")).withColumn("slot", F.pmod("h", pick(slots, F.col("bucket"))).cast("int"))
+    if max(slots) > 1:
         offsets = full.groupBy("bucket", "slot").count()
         before = F.sum("count").over(Window.partitionBy("bucket").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
         offsets = cut(offsets.select("bucket", "slot", F.coalesce(before, F.lit(0)).alias("before")))

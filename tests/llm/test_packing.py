@@ -26,7 +26,7 @@ def test_boundaries_against_all_choices():
 
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = pack(docs, slot_rows=7).toPandas()
+    out = pack(docs, slot_tokens=3_000).toPandas()
     assert sorted(out.doc_id) == sorted(r.doc_id for r in docs.collect())
     full = out[out.n_tokens > 0]
     assert (full.n_tokens <= full.bucket_length).all()
