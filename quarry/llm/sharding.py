@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, small_side, stored
 
 #: Shards (at least), rows of a shard (at most, beyond that number) and of a partition (at most).
-SHARDS, SHARD_ROWS, PART_ROWS, SEED = 16, 20_000, 50_000, 42
+SHARDS, SHARD_ROWS, PART_ROWS, SEED = 16, 8_000, 50_000, 42
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
