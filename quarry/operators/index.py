@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ingest import FILE_COLUMNS
 from .ngram import trigrams
 
 VERSION = 1
@@ -59,6 +60,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 def build_index(files: DataFrame, root: str, *, name: str = "", trees: DataFrame | None = None, tags: DataFrame | None = None, ngrams: bool = False, by_tree: bool = True) -> str:
     """Write a snapshot and make it the current one; its folder."""
     spark = files.sparkSession
+    files = files.select(*FILE_COLUMNS)
     stamp = f"{root}/{int(time.time())}-{uuid.uuid4().hex[:8]}"
     # one sorted run of each tree in each task: few files a tree however many there are
     placed = files.repartitionByRange("tree", "file_no").sortWithinPartitions("tree", "file_no") if by_tree else files

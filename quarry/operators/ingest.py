@@ -34,10 +34,10 @@ def has_nul(text: Column) -> Column:
 
 
 def text_files(df: DataFrame, *, file_no: Column, tree: Column, version: Column, path: Column, text: Column, limit: int = LINE_LIMIT) -> DataFrame:
-    """``files`` from a table of texts: file_no, tree, version, path, lines, content, n_lines."""
+    """``files`` from a table of texts: FILE_COLUMNS, and the text as it was in ``raw``, which filters reach in the scan."""
     base = df.select(file_no.cast("long").alias("file_no"), tree.alias("tree"), version.alias("version"), path.alias("path"), text.alias("text")).where(F.col("text").isNotNull() & ~has_nul(F.col("text")))
-    lined = base.select("file_no", "tree", "version", "path", split_lines(F.col("text"), limit).alias("lines"))
-    return with_content(lined)
+    lined = base.select("file_no", "tree", "version", "path", split_lines(F.col("text"), limit).alias("lines"), F.col("text").alias("raw"))
+    return with_content(lined, "raw")
 
 
 def binary_files(df: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
@@ -47,8 +47,8 @@ def binary_files(df: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     return with_content(lined)
 
 
-def with_content(lined: DataFrame) -> DataFrame:
-    return lined.select("file_no", "tree", "version", "path", "lines", F.array_join("lines", "\n").alias("content"), F.size("lines").alias("n_lines"))
+def with_content(lined: DataFrame, *more: str) -> DataFrame:
+    return lined.select("file_no", "tree", "version", "path", "lines", F.array_join("lines", "\n").alias("content"), F.size("lines").alias("n_lines"), *more)
 
 
 def number_files(raw: DataFrame, *order: Column | str) -> DataFrame:

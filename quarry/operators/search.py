@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,35 @@ INVALID = "<invalid utf-8>"
 MATCH_COLUMNS = ["file_no", "tree", "version", "path", "lno", "context_before", "context_after", "bounds", "line"]
 
 
+def _linear_matches(pattern: str):
+    """A predicate by the linear-time engine in Arrow, whose stack does not grow with the text."""
+
+    @F.arrow_udf("boolean")
+    def matches(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return matches
+
+
+def _linear_bounds(pattern: str):
+    @F.arrow_udf("array<int>")
+    def bounds(texts: pa.Array) -> pa.Array:
+        found = pc.extract_regex(texts, pattern)
+        left = pc.utf8_length(pc.struct_field(found, "a"))
+        right = pc.add(left, pc.utf8_length(pc.struct_field(found, "m")))
+        return pa.array([None if a is None else [a, b] for a, b in zip(left.to_pylist(), right.to_pylist())], pa.list_(pa.int32()))
+
+    return bounds
+
+
 @dataclass(frozen=True)
 class Pattern:
-    """A compiled pattern: predicates and bounds for a column of lines or paths."""
+    """A compiled pattern: predicates and bounds for a column of lines or paths.
+
+    Most patterns run in the JVM, inside generated code.  Those whose repeated
+    groups would make its engine recurse for each character, or retry without
+    end, run in Arrow's linear-time engine instead.
+    """
 
     source: str
     fold: bool
@@ -34,7 +62,17 @@ class Pattern:
     def body(self) -> str:
         return rx.to_java(self.node, self.fold)
 
+    @property
+    def linear(self) -> bool:
+        return rx.needs_linear(self.node)
+
+    @property
+    def re2(self) -> str:
+        return rx.to_re2(self.node, self.fold)
+
     def matches(self, text: Column) -> Column:
+        if self.linear:
+            return _linear_matches(("(?i)" if self.fold else "") + self.re2)(text)
         pieces = rx.chain(self.node)
         if pieces is None:
             return text.rlike(rx.prefix(self.fold) + self.body)
@@ -44,6 +82,9 @@ class Pattern:
 
     def bounds(self, text: Column) -> Column:
         """[left, right) of the leftmost match, in code points; only for texts that match."""
+        if self.linear:
+            flags = "i" if self.fold else ""
+            return _linear_bounds(f"(?s{flags})^(?P<a>.*?)(?P<m>(?-s:{self.re2}))")(text)
         flags = rx.prefix(self.fold)
         pieces = rx.chain(self.node)
         if pieces is None:
@@ -59,11 +100,13 @@ class Pattern:
 
     def prefilter(self, files: DataFrame) -> DataFrame:
         """Files that may hold a matching line: required literals, which reach the
-        scan, then the pattern itself over the whole content where that is sound."""
-        want = planner.condition(planner.need_of(self.node), F.col("content"))
+        scan, then the pattern itself over the whole text where that is sound and
+        no try can run on beyond a line."""
+        text = F.col("raw" if "raw" in files.columns else "content")
+        want = planner.condition(planner.need_of(self.node), text)
         out = files if want is None else files.where(want)
-        if not rx.can_be_empty(self.node) and rx.unbounded(self.node) < 2 and not {"begin", "end"} & rx.kinds(self.node):
-            out = out.where(F.col("content").rlike(rx.prefix(self.fold, lines=True) + self.body))
+        if not self.linear and not rx.can_be_empty(self.node) and rx.unbounded(self.node) < 2 and rx.stays_in_line(self.node) and not {"begin", "end"} & rx.kinds(self.node):
+            out = out.where(text.rlike(rx.prefix(self.fold, lines=True) + self.body))
         return out
 
 
@@ -104,23 +147,62 @@ def context(lines: Column, lno: Column, k: int) -> tuple[Column, Column]:
     return shown(before), shown(after)
 
 
-def search_lines(files: DataFrame, pattern: Pattern, where: Column | None = None, context_lines: int = 3) -> DataFrame:
-    """One row for each line with a match: MATCH_COLUMNS.
+def matching_lines(files: DataFrame, pattern: Pattern, where: Column | None = None, *keep: str) -> DataFrame:
+    """``file_no, tree, version, path, lno, line`` of each line with a match, and the columns ``keep``.
 
-    File predicates and required literals run below the split into lines; the
-    context is a slice of the file's own array, so nothing is shuffled.
+    File predicates and required literals run below the split into lines.
     """
     chosen = files if where is None else files.where(where)
     chosen = pattern.prefilter(chosen)
-    x = chosen.select("file_no", "tree", "version", "path", "lines", F.posexplode_outer("lines").alias("pos", "line"))
+    x = chosen.select("file_no", "tree", "version", "path", *keep, F.posexplode_outer("lines").alias("pos", "line"))
     x = x.where(F.col("line").isNotNull())
     want = planner.condition(planner.need_of(pattern.node), F.col("line"))
     if want is not None:
         x = x.where(want)
-    x = x.where(F.is_valid_utf8("line") & pattern.matches(F.col("line")))
-    lno = F.col("pos") + 1
-    before, after = context(F.col("lines"), lno, context_lines)
-    return x.select("file_no", "tree", "version", "path", lno.alias("lno"), before.alias("context_before"), after.alias("context_after"), pattern.bounds(F.col("line")).alias("bounds"), "line")
+    x = x.where(F.is_valid_utf8("line")).where(pattern.matches(F.col("line")))
+    return x.select("file_no", "tree", "version", "path", (F.col("pos") + 1).alias("lno"), "line", *keep)
+
+
+def search_lines(files: DataFrame, pattern: Pattern, where: Column | None = None, context_lines: int = 3) -> DataFrame:
+    """One row for each line with a match: MATCH_COLUMNS.
+
+    The context is a slice of the file's own array, so nothing is shuffled.
+    """
+    x = matching_lines(files, pattern, where, "lines")
+    before, after = context(F.col("lines"), F.col("lno"), context_lines)
+    return x.select("file_no", "tree", "version", "path", "lno", before.alias("context_before"), after.alias("context_after"), pattern.bounds(F.col("line")).alias("bounds"), "line")
+
+
+#: Shares of the file numbers that a limited search looks at before the rest.
+STEPS = (1 / 64, 1 / 8, 1.0)
+
+
+def first_lines(files: DataFrame, pattern: Pattern, where: Column | None, context_lines: int, limit: int) -> DataFrame:
+    """The first ``limit`` hits by file and line, like ``limited(search_lines(...))``.
+
+    Looks through ranges of file numbers, of growing size, and stops where there
+    are enough: a range is a predicate on the scan.  Only numbers of files and
+    lines are collected, ``limit`` at most; contexts and bounds are made of those
+    alone, in the returned plan.
+    """
+    ends = files.agg(F.min("file_no"), F.max("file_no")).first()
+    if ends[0] is None or limit <= 0:
+        return search_lines(files.where("false"), pattern, where, context_lines)
+    hits: list[tuple[int, int]] = []
+    low = ends[0]
+    for share in STEPS:
+        high = ends[0] + int((ends[1] - ends[0]) * share)
+        if high >= low:
+            part = matching_lines(files.where(F.col("file_no").between(low, high)), pattern, where).select("file_no", "lno")
+            hits += [tuple(r) for r in part.orderBy("file_no", "lno").limit(limit - len(hits)).collect()]
+            low = high + 1
+        if len(hits) >= limit:
+            break
+    numbers = sorted({n for n, _ in hits})
+    if not numbers:
+        return search_lines(files.where("false"), pattern, where, context_lines)
+    some = files.where(F.col("file_no").between(numbers[0], numbers[-1]) & F.col("file_no").isin(numbers))
+    return search_lines(some, pattern, None, context_lines).orderBy("file_no", "lno").limit(limit)
 
 
 def search_paths(files: DataFrame, pattern: Pattern, where: Column | None = None) -> DataFrame:

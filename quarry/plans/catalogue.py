@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import browse, index as ix, ingest, ngram, repos, results as R, tags as tg
-from ..operators.search import Pattern, file_condition, files_density, limited, search_lines, search_paths
+from ..operators.search import Pattern, file_condition, files_density, first_lines, search_lines, search_paths
 from . import planner
 from .engine import Engine
 from .query import Query, parse
@@ -255,7 +255,7 @@ add(
     _both,
     f"{pre()} SELECT 'line' AS kind, file_no, path, lno, {bounds_sql('line', '7[.]txt|moron')} FROM L WHERE {has('line', '7[.]txt|moron')} UNION ALL SELECT 'path', file_no, path, 0, {bounds_sql('path', '7[.]txt|moron')} FROM F WHERE {has('path', '7[.]txt|moron')}",
 )
-add("search_limit_ordered", lambda s, d: flat(limited(search_lines(docs(s, d), Pattern.compile("the", False)), 50, "file_no", "lno")), lines_sql("the") + " ORDER BY L.file_no, lno LIMIT 50")
+add("search_limit_ordered", lambda s, d: flat(first_lines(docs(s, d), Pattern.compile("the", False), None, 3, 50)), lines_sql("the") + " ORDER BY L.file_no, lno LIMIT 50")
 add(
     "exit_reason",
     lambda s, d: s.createDataFrame([("idiot", 10**9), ("the", 50)], "pattern string, most long").join(
@@ -284,7 +284,7 @@ add("qlang_max_matches", lambda s, d: _limited_query(s, d, "the max_matches:7"),
 
 def _limited_query(s: SparkSession, d: str, text: str) -> DataFrame:
     query = parse(text)
-    return flat(limited(search_lines(docs(s, d), Pattern.compile(query.line, query.fold_case), file_condition(query)), query.max_matches, "file_no", "lno"))
+    return flat(first_lines(docs(s, d), Pattern.compile(query.line, query.fold_case), file_condition(query), 3, query.max_matches))
 
 
 # -- tags ------------------------------------------------------------------------
@@ -517,8 +517,7 @@ for _name, (_pattern, _fold) in {**BENCH, **SLOW}.items():
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language's own example: a pattern with file and repository filters, with context."""
     query = parse(r"\bth\w+ing\b file:^en/ -file:7 repo:src max_matches:50")
-    found = search_lines(docs(spark, sf_dir), Pattern.compile(query.line, query.fold_case), file_condition(query))
-    return flat(limited(found, query.max_matches, "file_no", "lno"), True)
+    return flat(first_lines(docs(spark, sf_dir), Pattern.compile(query.line, query.fold_case), file_condition(query), 3, query.max_matches), True)
 
 
 add("flagship", flagship, lines_sql(r"\bth\w+ing\b", True, f"{has('path', '^en/')} AND NOT {has('path', '7')} AND {has('tree', 'src')}", ctx=3) + " ORDER BY L.file_no, lno LIMIT 50")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.regex import QueryError
 from ..operators import index as ix
 from ..operators import ngram, tags as tg
-from ..operators.search import Pattern, file_condition, limited, search_lines, search_paths
+from ..operators.search import Pattern, file_condition, first_lines, limited, search_lines, search_paths
 from . import planner
 from .query import DEFAULT_CONTEXT, DEFAULT_LIMIT, Query, effective_context, effective_limit, from_params
 
@@ -107,6 +107,13 @@ class Engine:
             return tg.first_of_passes([*passes, anywhere])
         return tg.first_of_passes([*passes, plain.withColumn("pass", F.lit(3))])
 
+    def limited_matches(self, q: Query, limit: int | None) -> DataFrame:
+        """The first matches by pass, file and line; without tags the search stops where there are enough."""
+        if limit is None or q.tags or (self.tags is not None and tg.might_match_tags(q.line)):
+            return limited(self.matches(q), limit, "pass", "file_no", "lno").drop("pass")
+        pattern = self._compiled(q)
+        return first_lines(self._candidates(pattern), pattern, file_condition(q), effective_context(q, self.config.context_lines), limit)
+
     def file_matches(self, q: Query) -> DataFrame:
         return search_paths(self.files, self._compiled(q), file_condition(q))
 
@@ -117,7 +124,7 @@ class Engine:
         pass, file and number.  On a timeout the reply has what came until then."""
         began = time.time()
         limit = effective_limit(q, self.config.max_matches)
-        lines = None if q.filename_only else limited(self.matches(q), limit, "pass", "file_no", "lno").drop("pass")
+        lines = None if q.filename_only else self.limited_matches(q, limit)
         paths = limited(self.file_matches(q), limit, "file_no")
         planned = time.time()
         rows, names, why = self._collect([d for d in (lines, paths) if d is not None])

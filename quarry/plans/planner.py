@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import regex as rx
 
 MOST_STRINGS, MOST_CHARS, SHORTEST = 16, 8, 2
+#: A need that is fulfilled by more than one in so many positions is not worth a filter.
+LEAST_WEIGHT = 16
 
 
 @dataclass(frozen=True)
@@ -110,8 +112,10 @@ def _walk(node: rx.Node) -> tuple[frozenset | None, Need]:
 
 
 def need_of(node: rx.Node) -> Need:
+    """What every match needs, or ANY if that is too common to help."""
     exact, need = _walk(node)
-    return _literals(exact) if exact is not None else need
+    need = _literals(exact) if exact is not None else need
+    return need if selectivity(need) * LEAST_WEIGHT <= 1 else ANY
 
 
 def condition(need: Need, text: Column) -> Column | None:

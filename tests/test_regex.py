@@ -121,3 +121,28 @@ def _con():
     if not _held:
         _held.append(duckdb.connect())
     return _held[0]
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_the_linear_form_of_every_pattern(spark, texts, fold, monkeypatch):
+    """The engine for risky patterns against the JVM's, on all patterns."""
+    from quarry.operators import search
+
+    compiled = [Pattern.compile(p, fold) for p in PATTERNS]
+    shown = lambda c: F.when(c.matches(F.col("t")), F.array_join(F.transform(c.bounds(F.col("t")), lambda x: x.cast("string")), "-"))
+    jvm = [shown(c) for c in compiled]
+    monkeypatch.setattr(search.Pattern, "linear", True)
+    for at in range(0, len(compiled), 16):
+        some = range(at, min(at + 16, len(compiled)))
+        rows = texts.select("t", *[jvm[k].alias(f"a{k}") for k in some], *[shown(compiled[k]).alias(f"b{k}") for k in some]).collect()
+        assert [(PATTERNS[k], r.t, r[f"a{k}"], r[f"b{k}"]) for r in rows for k in some if r[f"a{k}"] != r[f"b{k}"]] == []
+
+
+def test_negated_classes_fold_first(spark):
+    con = duckdb.connect()
+    patterns = ["[[:^alpha:]]", "[[:^upper:]]", r"[\W]", r"[\Wk]", "[^[:^lower:]]", r"\W"]
+    texts = ["a", "K", "k", "\u212a", "\u017f", "1", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        got = {r.t: r.m for r in df.select("t", Pattern.compile(p, True).matches(F.col("t")).alias("m")).collect()}
+        assert got == {t: con.execute("SELECT regexp_matches($1, $2)", [t, f"(?i){p}"]).fetchone()[0] for t in texts}, p

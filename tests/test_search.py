@@ -1,6 +1,7 @@
 """Behaviour of searches on small corpora."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.functions.regex import QueryError
 from quarry.operators.ingest import binary_files
@@ -174,3 +175,24 @@ def test_the_language_end_to_end(spark):
     assert [(x.path, x.lno) for x in e.search(parse("def run -file:test")).results] == [("/src/a.py", 1)]
     assert [x.lno for x in e.search(parse("lit:x.y")).results] == [2]
     assert [x.path for x in e.search(parse("file:test")).file_results] == ["/test/a.py"]
+
+
+def test_patterns_that_would_overflow_a_backtracking_engine(spark):
+    lines = "\n".join(f"word {i} qq and more" for i in range(20_000))
+    e = engine(spark, ("repo", "/many", lines), ("repo", "/long", "ab" * 500_000 + "\n" + "qq" * 400 + "z\n" + "a" * 1000), ("repo", "/blank", "\n" * 500_000))
+    assert found(e, line="([^q]|qq)+z") == [("repo", "/long", 2)]
+    assert found(e, line="(a|b|ab)*c") == [] and found(e, line="(a*)*b$") == [] and found(e, line="(x+x+)+y") == []
+    assert found(e, line=r"[^q]+~") == [] and found(e, line=r"\s+x~") == []
+    assert [h[1:] for h in found(e, line="((a|aa)+)+$", max_matches=3)] == [("/long", 3)]
+
+
+def test_the_first_hits_are_those_of_a_whole_search(spark):
+    from quarry.operators.search import Pattern, first_lines, limited, search_lines
+
+    rows = [("repo", f"/f{i}", "\n".join(["hit" if (i * j) % 7 == 0 else "other"] * 3)) for i, j in zip(range(300), range(7, 307))]
+    files = engine(spark, *rows).files.withColumn("file_no", F.col("file_no") * 3 + 5)
+    p = Pattern.compile("hit", False)
+    for limit in (1, 4, 50, 1000):
+        want = limited(search_lines(files, p), limit, "file_no", "lno").collect()
+        assert first_lines(files, p, None, 3, limit).collect() == want
+    assert first_lines(files, Pattern.compile("none", False), None, 3, 5).count() == 0 and first_lines(files.where("false"), p, None, 3, 5).count() == 0
