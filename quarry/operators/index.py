@@ -38,10 +38,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if not fs.rename(temp, target):
-        fs.delete(target, False)
-        if not fs.rename(temp, target):
-            raise OSError(f"cannot publish {path}")
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE  # atomic where the file system's rename is
+    files.rename(files.makeQualified(temp), files.makeQualified(target), how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:

@@ -7,9 +7,12 @@ bytes or more is blanked, so that numbers hold.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import cut
+
 LINE_LIMIT = 1024
 FILE_COLUMNS = ["file_no", "tree", "version", "path", "lines", "content", "n_lines"]
 
@@ -58,7 +61,7 @@ def number_files(raw: DataFrame, *order: Column | str) -> DataFrame:
     and adds the counts of those before it; nothing meets in one task.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in (order or ("tree", "version", "path"))]
-    placed = raw.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()).persist()
+    placed = cut(raw.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = placed.groupBy(part.alias("_part")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,18 +98,21 @@ def conversations_as_files(turns: DataFrame, limit: int = LINE_LIMIT) -> DataFra
 # -- counters and layout ----------------------------------------------------
 
 
-def ingest_metrics(files: DataFrame) -> DataFrame:
-    """Counters by name, sorted: bytes and lines, also of distinct lines, and files."""
-    lines = lines_of(files)
-    by_line = lines.groupBy("line").agg(F.count("*").alias("n"))
+def ingest_metrics(files: DataFrame, chunk_bytes: int = 1 << 27, content_bytes: int = 1 << 22) -> DataFrame:
+    """Counters by name, sorted: bytes and lines, also of distinct lines; files; and
+    what a packed layout has: chunks of text, line ranges of the files, and chunks of those."""
+    by_line = lines_of(files).groupBy("line").agg(F.count("*").alias("n"))
     totals = by_line.agg(
         F.coalesce(F.sum(F.octet_length("line").cast("long") * F.col("n")), F.lit(0)).alias("index.bytes"),
         F.coalesce(F.sum(F.octet_length("line").cast("long") + 1), F.lit(0)).alias("index.bytes.dedup"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("index.lines"),
         F.count("*").alias("index.lines.dedup"),
     )
-    one = totals.crossJoin(files.agg(F.count("*").alias("index.files")))
-    names = ["index.bytes", "index.bytes.dedup", "index.files", "index.lines", "index.lines.dedup"]
+    sizes = files.select("file_no", F.octet_length("content").cast("long").alias("bytes"), (4 * (1 + 3 * F.col("n_lines").cast("long"))).alias("range_bytes"))
+    count = lambda c, room, name: next_fit(sizes.select("file_no", F.col(c).alias("bytes")), room).select("bucket", "chunk").distinct().agg(F.count("*").alias(name))
+    one = totals.crossJoin(files.agg(F.count("*").alias("index.files"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("index.content.ranges")))
+    one = one.crossJoin(count("bytes", chunk_bytes, "index.data.chunks")).crossJoin(count("range_bytes", content_bytes, "index.content.chunks"))  # one row each
+    names = ["index.bytes", "index.bytes.dedup", "index.content.chunks", "index.content.ranges", "index.data.chunks", "index.files", "index.lines", "index.lines.dedup"]
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("long").alias("value")) for n in names])).alias("m")).select("m.*").orderBy("name")
 
 
@@ -115,20 +121,55 @@ def line_dictionary(files: DataFrame) -> DataFrame:
     return lines_of(files).groupBy("line").agg(F.count("*").alias("occurrences"), F.countDistinct("file_no").alias("files"))
 
 
-def line_postings(files: DataFrame) -> DataFrame:
-    """Each distinct line with the places where it occurs, in order."""
-    return lines_of(files).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("file_no", "lno"))).alias("places"))
+#: Consecutive file numbers in a block of postings, and in a bucket that is packed as one.
+BLOCK_FILES, BUCKET_FILES = 4_096, 16_384
+
+
+def line_postings(files: DataFrame, block_files: int = BLOCK_FILES) -> DataFrame:
+    """``line, block, places``: the places of each distinct line in order, by blocks of
+    consecutive files, so that a line of all files (the empty one) has many rows."""
+    block = F.floor(F.col("file_no") / block_files).cast("long")
+    return lines_of(files).groupBy("line", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("file_no", "lno"))).alias("places"))
 
 
-def chunk_files(files: DataFrame, chunk_bytes: int, buckets: int = 64) -> DataFrame:
-    """Next-fit packing of files into chunks of about ``chunk_bytes``: file_no, bytes, chunk.
+def postings_to_files(postings: DataFrame, files: DataFrame) -> DataFrame:
+    """``line, file_no, tree, version, path, lno``: the places of postings with their files."""
+    places = postings.select("line", F.explode("places").alias("p")).select("line", "p.file_no", "p.lno")
+    return places.join(files.select("file_no", "tree", "version", "path"), "file_no")
 
-    Files are packed by buckets of consecutive numbers, so that no task sees all.
+
+def next_fit(sized: DataFrame, room: int) -> DataFrame:
+    """``file_no, bytes, bucket, chunk``: each file goes to the last chunk if it fits, or to a new one.
+
+    A sequential rule, so files are packed by buckets of consecutive numbers, whose
+    sizes fit a task; chunks count from 0 in each.  What is larger than a chunk has its own.
     """
-    sized = files.select("file_no", "tree", F.octet_length("content").cast("long").alias("bytes"))
-    ranged = sized.withColumn("bucket", F.floor(F.col("file_no") / F.lit(max(1, 1 << 20) // buckets)))
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("bucket").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.select("file_no", "tree", "bytes", F.col("bucket").cast("long").alias("bucket"), F.floor(before / F.lit(chunk_bytes)).cast("long").alias("chunk"))
+    bucketed = sized.select("file_no", "bytes", F.floor(F.col("file_no") / BUCKET_FILES).cast("long").alias("bucket"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("file_no", kind="stable")
+        chunk, used, out = -1, room + 1, []
+        for n in rows["bytes"].tolist():
+            if chunk < 0 or used + n > room:
+                chunk, used = chunk + 1, 0
+            used += n
+            out.append(chunk)
+        return rows.assign(chunk=out)
+
+    return bucketed.groupBy("bucket").applyInPandas(pack, "file_no long, bytes long, bucket long, chunk long")
+
+
+def chunk_files(files: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Next-fit packing of files into chunks of at most ``chunk_bytes``: file_no, tree, bytes, bucket, chunk."""
+    sized = files.select("file_no", F.octet_length("content").cast("long").alias("bytes"))
+    return next_fit(sized, chunk_bytes).join(files.select("file_no", "tree"), "file_no").select("file_no", "tree", "bytes", "bucket", "chunk")
+
+
+def span_table(chunks: DataFrame) -> DataFrame:
+    """``bucket, chunk, left, right, file_no``: the bytes that each file takes in its chunk, in order."""
+    w = Window.partitionBy("bucket", "chunk").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.sum("bytes").over(w), F.lit(0))
+    return chunks.select("bucket", "chunk", left.alias("left"), (left + F.col("bytes")).alias("right"), "file_no").where("left < right").orderBy("bucket", "chunk", "left")
 
 
 def trees_per_chunk(chunks: DataFrame) -> DataFrame:

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.planner import Need
-from .ingest import lines_of
 
 N = 3
 
 
 def trigrams(files: DataFrame) -> DataFrame:
-    """``tri, file_no``: each distinct trigram of each file's lines."""
-    line = F.col("line")
-    at = F.sequence(F.lit(1), F.length(line) - (N - 1))
-    grams = F.when(F.length(line) >= N, F.array_distinct(F.transform(at, lambda i: F.substring(line, i, N))))
-    return lines_of(files).select("file_no", F.explode(grams).alias("tri")).distinct().select("tri", "file_no")
+    """``tri, file_no``: each distinct trigram of each file's lines.
+
+    Made in Arrow batches: code points as numbers, three of which are a key, so a
+    file's distinct trigrams are one sort of numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = "\n".join(x for x in lines or () if x is not None and len(x) >= N)
+                code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+                if len(code) < N:
+                    continue
+                key = code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:]
+                feed = code == 10
+                own = np.unique(key[~(feed[:-2] | feed[1:-1] | feed[2:])])
+                chars = np.stack([own >> np.uint64(42), own >> np.uint64(21) & np.uint64(0x1FFFFF), own & np.uint64(0x1FFFFF)], axis=1).astype(np.uint32)
+                whole = chars.tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_pydict({"tri": pa.array([whole[i : i + N] for i in range(0, len(whole), N)], pa.string()), "file_no": pa.array(np.full(len(own), no, np.int64))})
+
+    valid = F.filter("lines", lambda x: F.is_valid_utf8(x))
+    return files.select("file_no", valid.alias("lines")).mapInArrow(run, "tri string, file_no long")
 
 
 def grams_of(text: str) -> list[str]:

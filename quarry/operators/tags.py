@@ -21,6 +21,12 @@ def parse_tags(rows: DataFrame, line: str = "value") -> DataFrame:
     return rows.where(c.rlike(_ROW)).select(*rest, part(1).alias("tag"), part(2).alias("tag_path"), part(3).cast("long").alias("lno"), part(4).alias("fields"))
 
 
+def tags_of_files(files: DataFrame) -> DataFrame:
+    """``tree, path, lno, tag, fields`` from an index whose files are tags files."""
+    rows = files.select("tree", F.col("path").alias("tags_path"), F.explode("lines").alias("value"))
+    return parse_tags(rows).select("tree", tag_file_path(F.col("tags_path"), F.col("tag_path")).alias("path"), "lno", "tag", "fields")
+
+
 def tag_file_path(tags_path: Column, tag_path: Column) -> Column:
     """Path of the tagged file: relative to the folder of the tags file."""
     folder = F.regexp_replace(tags_path, "/?[^/]*$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,22 +22,10 @@ def walk(root: str, ignore_symlinks: bool = False) -> list[str]:
     stack = [("", 0)]
     while stack:
         folder, depth = stack.pop()
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            rel = os.path.join(folder, e.name)
-            if ignore_symlinks and e.is_symlink():
-                continue
-            try:
-                if e.is_dir():
-                    if depth < MAX_DEPTH:
-                        stack.append((rel, depth + 1))
-                elif e.is_file():
-                    out.append(rel)
-            except OSError:
-                continue
+        folders, files = _entries(root, folder, ignore_symlinks)
+        out += files
+        if depth < MAX_DEPTH:
+            stack += [(f, depth + 1) for f in folders]
     return sorted(out)
 
 
@@ -59,13 +48,72 @@ def read_tree(spark: SparkSession, root: str, *, tree: str, version: str = "", p
     return out.join(order, "path").select("tree", "version", "path", "content", "rank")
 
 
+#: Folders that the driver opens before tasks take over.
+_SPREAD = 256
+
+
 def read_fs(spark: SparkSession, root: str, *, tree: str, ignore_symlinks: bool = False) -> DataFrame:
-    """A local tree; nothing if ``root`` does not exist."""
+    """``tree, version, path, content, rank`` of a tree that all executors can read; nothing if ``root`` does not exist.
+
+    The driver opens the uppermost folders only, until there are enough to go
+    round; tasks walk the rest and read the files.  Rules are those of ``walk``.
+    """
     if not os.path.exists(root):
         return read_tree(spark, root, tree=tree, paths=[])
     if os.path.isfile(root):
         return read_tree(spark, os.path.dirname(root), tree=tree, paths=[os.path.basename(root)])
-    return read_tree(spark, root, tree=tree, paths=walk(root, True) if ignore_symlinks else walk(root))
+    files: list[str] = []
+    level = [""]
+    depth = 0
+    while level and len(level) < _SPREAD and depth < MAX_DEPTH:
+        inner: list[str] = []
+        for folder in level:
+            more, own = _entries(root, folder, ignore_symlinks)
+            inner += more
+            files += own
+        level, depth = inner, depth + 1
+    jobs = [(folder, depth, True) for folder in level] + [(f, 0, False) for f in files]
+    listed = spark.createDataFrame(jobs, "at string, depth int, folder boolean").repartition(max(1, min(len(jobs), 8 * spark.sparkContext.defaultParallelism)))
+    entries = _entries  # by value, so that workers need not have this package
+
+    def read(batches):
+        for batch in batches:
+            for at, depth, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                stack, found = [(at, depth)] if folder else [], [] if folder else [at]
+                while stack or found:
+                    for rel in found:
+                        try:
+                            with open(os.path.join(root, rel), "rb") as f:
+                                data = f.read()
+                        except OSError:
+                            continue
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([rel]), "content": pa.array([data], pa.binary())})
+                    found = []
+                    if stack:
+                        here, d = stack.pop()
+                        more, found = entries(root, here, ignore_symlinks)
+                        if d < MAX_DEPTH:
+                            stack += [(x, d + 1) for x in more]
+
+    raw = listed.mapInArrow(read, "path string, content binary")
+    return raw.select(F.lit(tree).alias("tree"), F.lit("").alias("version"), "path", "content", F.lit(0).cast("long").alias("rank"))
+
+
+def _entries(root: str, folder: str, ignore_symlinks: bool) -> tuple[list[str], list[str]]:
+    """Folders and files in a folder, by name; nothing if it cannot be opened."""
+    folders, files = [], []
+    try:
+        found = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    for e in found:
+        if ignore_symlinks and e.is_symlink():
+            continue
+        try:
+            (folders if e.is_dir() else files if e.is_file() else []).append(os.path.join(folder, e.name))
+        except OSError:
+            continue
+    return folders, files
 
 
 def read_ordered(spark: SparkSession, root: str, listing: str, *, tree: str, base: str = "") -> DataFrame:

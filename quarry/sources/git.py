@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
+import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,3 +91,57 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: st
                 sub = read_git(spark, inner, oid, tree=path, use_hash=use_hash, submodules=True, blobs_per_task=blobs_per_task)
                 found = found.unionByName(sub.selectExpr("tree", "version", f"concat('{path}/', path) as path", "content", f"rank + {len(ordered)} as rank"))
     return found
+
+
+def _authorised(password_env: str, username: str) -> list[str]:
+    """Options that let git ask this process's environment for the password, which no argument shows."""
+    if not password_env:
+        return []
+    return ["-c", "credential.helper=", "-c", f'credential.helper=!f() {{ test "$1" = get && echo "username={username}" && echo "password=${password_env}"; }}; f']
+
+
+def mirror(remote: str, path: str, *, depth: int = 0, password_env: str = "", username: str = "git", tries: int = 3, wait: float = 1.0) -> str:
+    """Make ``path`` a bare mirror of ``remote``, or bring it up to date; its HEAD's branch.
+
+    A folder that is bare already gets the remote's address and a pruning fetch.
+    HEAD then follows the remote's.  Failures are tried again, ``tries`` times in all.
+    """
+
+    def git(*args: str, at: str | None = path) -> str:
+        command = ["git", *_authorised(password_env, username), *(["-C", at] if at else []), *args]
+        return subprocess.run(command, check=True, capture_output=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"}).stdout.decode()
+
+    def once() -> str:
+        bare = os.path.isdir(path) and subprocess.run(["git", "-C", path, "rev-parse", "--is-bare-repository"], capture_output=True).stdout.strip() == b"true"
+        less = [f"--depth={depth}"] if depth else []
+        if bare:
+            git("remote", "set-url", "origin", remote)
+            git("fetch", "-p", *less, "origin")
+        else:
+            os.makedirs(path, exist_ok=True)
+            git("clone", "--mirror", *less, remote, path, at=None)
+        head = next((r.split()[1] for r in git("ls-remote", "--symref", "origin", "HEAD").splitlines() if r.startswith("ref:")), "")
+        if head:
+            git("symbolic-ref", "HEAD", head)
+        return head
+
+    for left in reversed(range(tries)):
+        try:
+            return once()
+        except subprocess.CalledProcessError:
+            if not left:
+                raise
+            time.sleep(wait)
+    raise ValueError("tries must be positive")
+
+
+def mirror_all(specs: list[dict], workers: int = 8) -> list[str]:
+    """Mirror all of ``remote``, ``path`` (and other arguments of ``mirror``), some at a time; the first failure ends it."""
+    with ThreadPoolExecutor(workers) as pool:
+        futures = [pool.submit(mirror, **s) for s in specs]
+        try:
+            return [f.result() for f in futures]
+        except Exception:
+            for f in futures:
+                f.cancel()
+            raise
