@@ -99,7 +99,11 @@ def _walk(node: rx.Node) -> tuple[frozenset | None, Need]:
         run, needs, whole = _NOTHING, [], True
         for x in node.items:
             exact, need = _walk(x)
-            if exact is None:
+            again = _walk(x.items[0])[0] if exact is None and x.kind == "rep" and x.low > 0 else None
+            if again is not None and len(run) * len(again) <= MOST_STRINGS:  # what comes before meets the first of them, what follows the last
+                needs += [_literals(_join(run, again)), need]
+                run, whole = again, False
+            elif exact is None:
                 needs += [_literals(run), need]
                 run, whole = _NOTHING, False
             elif len(run) * len(exact) > MOST_STRINGS:
