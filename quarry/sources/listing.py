@@ -55,7 +55,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     part = lambda i: F.regexp_extract(F.col("file"), r"([^/]+)/([^/]+)/([0-9]+)\.json$", i)
     pages = raw.select("value", F.col("_metadata.file_path").alias("file")).select("value", part(1).alias("kind"), part(2).alias("name"), part(3).cast("int").alias("page"))
     pages = pages.withColumn("rows", F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':') for c in SCHEMA.split(', '))}>>"))
-    bad = pages.groupBy("kind", "name").agg(F.count("*").alias("n"), F.max("page").alias("last"), F.bool_or(F.col("rows").isNull()).alias("broken")).where("broken or n <> last")
+    bad = pages.groupBy("kind", "name").agg(F.count("*").alias("n"), F.max("page").alias("last"), F.bool_or(F.col("rows").isNull() | ~F.startswith(F.ltrim("value"), F.lit("["))).alias("broken")).where("broken or n <> last")
     first = bad.orderBy("kind", "name").first()
     if first is not None:
         raise ValueError(f"the pages of {first['kind']} {first['name']} are not whole")
