@@ -125,7 +125,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         at = pa.array(doc)
         return {"g": pa.array(key), "id": batch.column(0).take(at), "th": batch.column(1).take(at), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())}
 
-    prints = cut(arrow_map(_line_hashes(docs, id_col, text_col), run, "g long, id long, th long, s int, e int"))
+    prints = stored(arrow_map(_line_hashes(docs, id_col, text_col), run, "g long, id long, th long, s int, e int"), "prints", "lz4")
     firsts = prints.groupBy("g").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.count("*").alias("c")).where("c > 1").select("g", "f")
     later = prints.join(firsts, "g").where(F.struct("id", "th", "s") > F.col("f"))
     merged = F.aggregate(
@@ -151,6 +151,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text may become empty.  Other columns are passed on, whatever their names;
     an existing ``removed_col`` is replaced.  An empty table gives an empty table.
     """
+    if not inside_lines:
+        return _without_lines(docs, id_col, text_col, noise, guarantee, removed_col)
+    # the text without repeated lines is stored, as passages are searched in it more than once
+    whole = stored(_without_lines(docs, id_col, text_col, noise, guarantee, removed_col), "lines")
+    release(docs.sparkSession)
+    return cut_passages(whole, id_col, text_col, noise, guarantee)
+
+
+def _without_lines(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int, removed_col: str) -> DataFrame:
     dead = repeated_runs(docs, id_col, text_col, noise=noise, guarantee=guarantee)
     release(docs.sparkSession)
     i, t, r = fresh(docs, "dead_id"), fresh(docs, "dead_text"), fresh(docs, "dead_runs")
@@ -160,9 +169,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = F.aggregate(F.col(r), F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
     named = {text_col: F.when(F.col(r).isNotNull(), F.array_join(kept, "\n")).otherwise(text), removed_col: F.coalesce(gone, F.lit(0))}
     others = [c for c in docs.columns if c.lower() != removed_col.lower()]
-    out = joined.select(*[named[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in others], named[removed_col].alias(removed_col))
-    if not inside_lines:
-        return out
-    whole = stored(out, "lines")  # what the passages are searched in, more than once
-    release(docs.sparkSession)
-    return cut_passages(whole, id_col, text_col, noise, guarantee)
+    return joined.select(*[named[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in others], named[removed_col].alias(removed_col))

@@ -17,11 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_map, cut, fresh, release
+from .common import arrow_map, cut, fresh, release, stored
 from .textkit import Words, _tables, mix, shingles
 
 _NEWLINE = 10
@@ -66,22 +65,31 @@ def extend(a: np.ndarray, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarra
     return differ[:, at::-1].argmax(axis=1), differ[:, at + 1 :].argmax(axis=1)
 
 
-def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
-    """``text`` without the words of the runs ``[lo, hi)`` and the marks that follow them in their line."""
-    w = Words(pa.array([text]))
-    data, out, at = w.data, [], 0
-    for lo, hi in runs:
-        a, b = int(w.start[lo]), int(w.end[hi - 1])
-        stop = int(w.start[hi]) if hi < len(w.start) else len(data)
-        line = np.flatnonzero(data[b:stop] == _NEWLINE)
-        out.append(data[at:a].tobytes())
-        at = b + int(line[0]) if len(line) else stop
-    out.append(data[at:].tobytes())
-    return b"".join(out).decode("utf-8", "replace")
+def byte_ranges(words: Words, doc: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and the byte to go on from, in its text, of each run of ``size`` words:
+    the marks that follow the last word go with it, but for those from the line's end on."""
+    first = words.off[:-1][doc] + at
+    after = first + size
+    stop = words.doc_off[1:][doc].copy()
+    more = after < words.off[1:][doc]
+    stop[more] = words.start[after[more]]
+    feeds = np.append(np.flatnonzero(words.data == _NEWLINE), len(words.data) + 1)
+    feed = feeds[np.searchsorted(feeds, words.end[after - 1])]
+    base = words.doc_off[:-1][doc]
+    return words.start[first] - base, np.minimum(stop, feed) - base
+
+
+def without(text: Column, runs: Column) -> Column:
+    """``text`` without the byte ranges ``runs`` (a, z), which are in order and apart."""
+    data = text.cast("binary")
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["z"]))
+    ends = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.octet_length(text)))
+    parts = F.zip_with(starts, ends, lambda s, e: F.substring(data, s + 1, e - s))
+    return F.aggregate(parts, F.lit(b""), lambda out, part: F.concat(out, part)).cast("string")
 
 
 def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
-    """id, th (xxhash64 of the text), runs (array of lo, hi in words) to cut; checkpointed."""
+    """id, th (xxhash64 of the text), runs (array of a, z in bytes) to cut; checkpointed."""
     text = F.col(f"`{text_col}`")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).where("id is not null and t is not null")
 
@@ -90,37 +98,40 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
         of = pa.array(doc)
         return {"g": pa.array(g.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32())}
 
-    found = cut(arrow_map(base, prints, "g long, id long, th long, at int", 2))
-    place = F.struct("id", "th", "at")
-    twice = found.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("g")
+    found = stored(arrow_map(base, prints, "g long, id long, th long, at int", 2), "grams", "lz4")
+    twice = found.groupBy("g").count().where("count > 1").select("g")
     wanted = cut(found.join(twice, "g").groupBy("id", "th").agg(F.collect_set("at").alias("hits")))
+    del twice
+    release(docs.sparkSession)
 
     def windows(batch: pa.RecordBatch) -> dict:
         hits = batch.column(3)
         n = np.diff(np.asarray(hits.offsets))
-        key, doc, at = window_keys(Words(batch.column(2)), np.repeat(np.arange(len(n)), n), hits.flatten().to_numpy().astype(np.int64), noise, guarantee)
+        words = Words(batch.column(2))
+        key, doc, at = window_keys(words, np.repeat(np.arange(len(n)), n), hits.flatten().to_numpy().astype(np.int64), noise, guarantee)
+        first, go_on = byte_ranges(words, doc, at, guarantee)
         of = pa.array(doc)
-        return {"w": pa.array(key.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32())}
+        return {"w": pa.array(key.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32()), "a": pa.array(first, pa.int32()), "z": pa.array(go_on, pa.int32())}
 
     holders = base.join(wanted, ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
-    spots = arrow_map(holders, windows, "w long, id long, th long, at int", 2)
-    order = F.row_number().over(Window.partitionBy("w").orderBy("id", "th", "at"))
-    later = spots.withColumn("nth", order).where("nth > 1").groupBy("id", "th").agg(F.collect_list("at").alias("ats"))
+    spots = stored(arrow_map(holders, windows, "w long, id long, th long, at int, a int, z int", 2), "windows", "lz4")
+    del holders
+    release(docs.sparkSession)
+    place = F.struct("id", "th", "at")
+    firsts = spots.groupBy("w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("w", "f")
+    later = spots.join(firsts, "w").where(place > F.col("f")).groupBy("id", "th").agg(F.collect_list(F.struct("at", "a", "z")).alias("found"))
 
     def merge(batch: pa.RecordBatch) -> dict:
         runs = []
-        for ats in batch.column(2):
-            lo = np.sort(ats.values.to_numpy())
-            new = np.flatnonzero(np.diff(lo) > guarantee)  # windows that meet or overlap are one run
-            runs.append([{"lo": x, "hi": y + guarantee} for x, y in zip(lo[np.append(0, new + 1)].tolist(), lo[np.append(new, len(lo) - 1)].tolist())])
-        return {"id": batch.column(0), "th": batch.column(1), "runs": pa.array(runs, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))}
-
-    return cut(arrow_map(later, merge, "id long, th long, runs array<struct<lo:int,hi:int>>"))
-
+        for found in batch.column(2):
+            at, first, go_on = (found.values.field(c).to_numpy() for c in range(3))
+            order = np.argsort(at, kind="stable")
+            new = np.flatnonzero(np.diff(at[order]) > guarantee)  # windows that meet or overlap are one run
+            lo, hi = order[np.append(0, new + 1)], order[np.append(new, len(at) - 1)]
+            runs.append([{"a": x, "z": y} for x, y in zip(first[lo].tolist(), go_on[hi].tolist())])
+        return {"id": batch.column(0), "th": batch.column(1), "runs": pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))}
 
-@F.arrow_udf(T.StringType())
-def _without(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    return pa.array([t if r is None or t is None else cut_words(t, [(x["lo"], x["hi"]) for x in r]) for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
+    return cut(arrow_map(later, merge, "id long, th long, runs array<struct<a:int,z:int>>"))
 
 
 def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
@@ -138,7 +149,5 @@ def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guaran
     text = F.col(f"`{text_col}`")
     named = dead.select(F.col("id").alias(i), F.col("th").alias(t), F.col("runs").alias(r))
     same = (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(t))
-    # two joins over one exchange, so that only texts with something to cut go through Python
-    whole = docs.join(named.select(i, t), same, "left_anti")
-    part = docs.join(named, same)
-    return whole.unionAll(part.select(*[_without(text, F.col(r)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
+    joined = docs.join(named, same, "left")
+    return joined.select(*[F.when(F.col(r).isNotNull(), without(text, F.col(r))).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,7 @@
 import random
 
 from quarry.llm.line_dedup import dedup_lines
-from quarry.llm.passages import cut_passages, cut_words, extend, fingerprints
+from quarry.llm.passages import byte_ranges, cut_passages, extend, fingerprints, without
 from quarry.llm.textkit import Words
 
 import numpy as np
@@ -31,7 +31,15 @@ def test_every_window_shares_its_fingerprint():
         assert set(g[doc == 0].tolist()) & set(g[doc == 1].tolist())
 
 
-def test_extension_and_cut():
+def test_extension_and_cut(spark):
+    from pyspark.sql import functions as F
+
+    def cut_words(text, runs):
+        w = Words(pa.array(["x y", text]))
+        at = [byte_ranges(w, np.array([1]), np.array([lo]), hi - lo) for lo, hi in runs]
+        df = spark.createDataFrame([(text, [(int(a[0]), int(z[0])) for a, z in at])], "t string, r array<struct<a:int,z:int>>")
+        return df.select(without(F.col("t"), F.col("r")).alias("t")).first().t
+
     a, b = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]]), np.array([[9, 2, 3, 4, 7, 6], [1, 2, 3, 4, 5, 6]])
     left, right = extend(a, b, 2)
     assert left.tolist() == [1, 2] and right.tolist() == [2, 4]
