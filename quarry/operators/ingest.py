@@ -18,9 +18,10 @@ FILE_COLUMNS = ["file_no", "tree", "version", "path", "lines", "content", "n_lin
 
 
 def split_lines(text: Column, limit: int = LINE_LIMIT) -> Column:
-    raw = F.split(text, "\n", -1)
-    whole = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
-    return blank_long(whole, limit)
+    """Lines of a text; each way through evaluates one split, and short texts have no long lines to look for."""
+    whole = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    lines = F.split(whole, "\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).when(F.octet_length(text) < limit - 1, lines).otherwise(blank_long(lines, limit))
 
 
 def blank_long(lines: Column, limit: int = LINE_LIMIT) -> Column:
