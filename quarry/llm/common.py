@@ -69,7 +69,16 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again, for wide rows."""
     path = own_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, once all that was made of it is stored or checkpointed itself."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, release, stored
+from .common import arrow_map, cut, discard, fresh, release, stored
 from .passages import cut_passages
 from .textkit import _tables, mix
 
@@ -133,7 +133,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array().cast("array<struct<s:int,e:int>>"),
         lambda acc, r: F.when((F.size(acc) > 0) & (r["s"] <= F.element_at(acc, -1)["e"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(r))),
     )
-    return cut(later.groupBy("id", "th").agg(merged.alias("runs")))
+    dead = cut(later.groupBy("id", "th").agg(merged.alias("runs")))
+    discard(prints)
+    return dead
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, noise: int = NOISE, guarantee: int = GUARANTEE, removed_col: str = "lines_removed", inside_lines: bool = False) -> DataFrame:

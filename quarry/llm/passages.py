@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, release, stored
+from .common import arrow_map, cut, discard, fresh, release, stored
 from .textkit import Words, _tables, mix, shingles
 
 _NEWLINE = 10
@@ -102,6 +102,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
     twice = found.groupBy("g").count().where("count > 1").select("g")
     wanted = cut(found.join(twice, "g").groupBy("id", "th").agg(F.collect_set("at").alias("hits")))
     del twice
+    discard(found)
     release(docs.sparkSession)
 
     def windows(batch: pa.RecordBatch) -> dict:
@@ -131,7 +132,9 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
             runs.append([{"a": x, "z": y} for x, y in zip(first[lo].tolist(), go_on[hi].tolist())])
         return {"id": batch.column(0), "th": batch.column(1), "runs": pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))}
 
-    return cut(arrow_map(later, merge, "id long, th long, runs array<struct<a:int,z:int>>"))
+    dead = cut(arrow_map(later, merge, "id long, th long, runs array<struct<a:int,z:int>>"))
+    discard(spots)
+    return dead
 
 
 def cut_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
