@@ -9,7 +9,8 @@
    matrix is never stored.
 3. Texts are cut into overlapping passages, projected, and compared by cosine
    with the projected benchmark items, long ones cut into parts no longer than a
-   passage: that finds candidates.  Those that hold too little of the part's
+   passage (parts of up to 30 words are held against passages of 24 words, others
+   against passages of 48): that finds candidates.  Those that hold too little of the part's
    squared idf to be a paraphrase go at once.
 4. A candidate is a leak if the longest common subsequence of the item's words
    and the passage's surroundings covers enough of the item and of its answer
