@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, release, slices, small_side, stored
+from .common import arrow_map, cut, discard, fresh, release, slices, small_side, stored
 from .textkit import Words, mix, reduce_by, shingles
 
 K, THRESHOLD, RATIO, RECALL, HASHES = 5, 0.6, 1.5, 0.92, 72
@@ -478,6 +478,7 @@ def near_duplicates(
     release(docs.sparkSession)
     # those that are still alone look among all larger sets
     alone = cut(_alone(of_sets("probes").select(F.col("id").alias("rep"), "n", "probes"), edges, "rep"))
+    discard(raw)
     larger = _larger_pairs(texts, sets, alone, k, threshold)
     release(docs.sparkSession)
     edges = cut(edges.unionByName(_verify(texts, larger, k, threshold)))
