@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import index as ix
-from .operators.ingest import documents_as_files, ingest_metrics
+from .operators.ingest import chunk_files, documents_as_files, ingest_metrics, span_table
 from .operators.results import cli_lines, count_label
 from .plans import planner
 from .plans.engine import Config, Engine
@@ -51,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--trees", action="store_true")
     i.add_argument("--source", action="store_true")
     i.add_argument("--metrics", action="store_true")
+    i.add_argument("--spans", action="store_true", help="bytes of each file in its chunk")
     d = sub.add_parser("dump-file")
     d.add_argument("root")
     d.add_argument("path")
@@ -87,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         rows = ix.dump_file(engine.files, a.path).collect()
         print(rows[0].text if rows else "", end="\n" if rows else "")
         return 0 if rows else 1
-    frame = ix.dump_trees(engine.files) if a.trees else ix.dump_source(engine.files) if a.source else ingest_metrics(engine.files) if a.metrics else ix.inspect(engine.files)
+    frame = span_table(chunk_files(engine.files, 1 << 27)) if a.spans else ix.dump_trees(engine.files) if a.trees else ix.dump_source(engine.files) if a.source else ingest_metrics(engine.files) if a.metrics else ix.inspect(engine.files)
     for r in frame.toLocalIterator():
         print("\t".join(str(x) for x in r))
     return 0

@@ -147,6 +147,6 @@ def test_command_line(spark, tmp_path, capsys, repo):
     assert cli.main(["search", root, "kmalloc", "--json"]) == 0 and len(json.loads(capsys.readouterr().out)["results"]) == 3
     assert cli.main(["dump-file", root, "Makefile"]) == 0 and capsys.readouterr().out == "all:\n\tcc\n"
     assert cli.main(["dump-file", root, "none"]) == 1
-    for extra in ([], ["--trees"], ["--source"], ["--metrics"]):
+    for extra in ([], ["--trees"], ["--spans"], ["--source"], ["--metrics"]):
         assert cli.main(["inspect", root, *extra]) == 0
     assert cli.main(["explain", "kmalloc|x", "--dot"]) == 0 and "digraph" in capsys.readouterr().out
