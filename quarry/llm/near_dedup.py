@@ -45,7 +45,7 @@ K, THRESHOLD, RATIO, RECALL, HASHES = 5, 0.6, 1.5, 0.92, 72
 _BITS, _BYTES = 128, 64
 PROBES, MISS, COMMON = 32, 0.001, 3
 #: Shingles of a range of the index, and those that a task packs at a time.
-RANGE_ITEMS, _FLUSH = 8_000_000, 2_000_000
+RANGE_ITEMS, _FLUSH = 4_000_000, 2_000_000
 #: Rows of a bucket that one task walks through; larger buckets are split, and their leaders meet afterwards.
 BUCKET_ROWS, _SAMPLE = 100_000, 64
 
@@ -269,8 +269,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, k: int, threshold: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, sets = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
+            for piece in slices(batch, 3):
                 sh, off = shingles(Words(piece.column(3)), k)
                 out: dict[str, list] = {"x": [], "y": [], "containment": []}
                 for r, (to, part, x) in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_pylist())):
@@ -328,7 +327,7 @@ def _packed(df: DataFrame, items, ranges: int, kind: int, column: int | None) ->
     """range, kind, keys, ids, runs: ``items(batch) -> (keys, ids)`` packed by range, many rows of ``df`` at a time.
 
     Within a range 32 bits of a hash tell shingles apart: with ``RANGE_ITEMS`` in
-    it one in 500 meets another by chance, which is one hit of the many that a
+    it one in 1,000 meets another by chance, which is one hit of the many that a
     pair needs, and pairs are checked from their texts.
     """
 
