@@ -45,7 +45,7 @@ K, THRESHOLD, RATIO, RECALL, HASHES = 5, 0.6, 1.5, 0.92, 72
 _BITS, _BYTES = 128, 64
 PROBES, MISS, COMMON = 32, 0.001, 3
 #: Shingles of a range of the index, and those that a task packs at a time.
-RANGE_ITEMS, _FLUSH = 4_000_000, 2_000_000
+RANGE_ITEMS, _FLUSH = 4_000_000, 1_000_000
 #: Rows of a bucket that one task walks through; larger buckets are split, and their leaders meet afterwards.
 BUCKET_ROWS, _SAMPLE = 100_000, 64
 
