@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ SHEBANGS = ((r"^#!.*\bpython[0-9.]*\b", "python"), (r"^#!.*\bruby\b", "ruby"), (
 README_EXTENSIONS = ("asciidoc", "markdown", "mdown", "adoc", "text", "mkd", "rst", "txt", "asc", "md")
 
 
+#: Capitals of the letters whose full mapping is more than one: the single one that they have, or themselves.
+_CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+_SPLIT_CAPITALS = re.compile(f"([{''.join(_CAPITALS)}])")
+
+
+def upper(text: Column) -> Column:
+    """In capitals, letter by letter, as SQL has it: of ß one letter, where Java makes two."""
+
+    @F.arrow_udf("string")
+    def capitals(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "".join(_CAPITALS.get(y) or y.upper() for y in _SPLIT_CAPITALS.split(x)) for x in texts.to_pylist()], pa.string())
+
+    return capitals(text)
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regex as rx
 from ..functions.frames import Frames, integrity, request_id
+from ..functions.scalar import upper
 from ..operators import index as ix, ingest, ngram, results as R, tags as tg
 from ..operators.search import Pattern, file_condition, matching_lines, search_lines
 from ..operators.store import own_folder
@@ -400,7 +401,7 @@ def _callbacks(s: SparkSession, d: str) -> DataFrame:
     """Rows by callbacks, with a transformation that drops and changes some."""
     seen: list[tuple] = []
     e = Engine(docs(s, d))
-    e.for_each(Query(line="moron"), lambda r: seen.append(("line", r.path, r.lno, r.line)), lambda r: seen.append(("path", r.path, 0, "")), lambda m: m.where("lno > 1").withColumn("line", F.upper("line")))
+    e.for_each(Query(line="moron"), lambda r: seen.append(("line", r.path, r.lno, r.line)), lambda r: seen.append(("path", r.path, 0, "")), lambda m: m.where("lno > 1").withColumn("line", upper(F.col("line"))))
     e.for_each(Query(line="src1/.*9"), lambda r: None, lambda r: seen.append(("path", r.path, 0, "")))
     return s.createDataFrame(seen, "kind string, path string, lno int, line string")
 
