@@ -118,7 +118,22 @@ def _entries(root: str, folder: str, ignore_symlinks: bool) -> tuple[list[str],
 
 def read_ordered(spark: SparkSession, root: str, listing: str, *, tree: str, base: str = "") -> DataFrame:
     """Files named in a listing, in its order; blank rows are skipped.  A listing
-    that is not absolute lies in ``base``, the folder of the configuration."""
+    that is not absolute lies in ``base``, the folder of the configuration.
+
+    Tasks open the files by their names as they stand: a name is no pattern, one
+    that is listed twice has two ranks, and one that is missing is an error."""
     with open(listing if os.path.isabs(listing) else os.path.join(base, listing)) as f:
         paths = [p for p in f.read().split("\n") if p]
-    return read_tree(spark, root, tree=tree, paths=paths)
+    if not paths:
+        return read_tree(spark, root, tree=tree, paths=[])
+    jobs = spark.createDataFrame(pa.table({"path": pa.array(paths), "rank": pa.array(range(len(paths)), pa.int64())}))
+
+    def read(batches):
+        for batch in batches:
+            for rel, rank in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(os.path.join(root, rel), "rb") as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_pydict({"path": pa.array([os.path.normpath(rel)]), "content": pa.array([data], pa.binary()), "rank": pa.array([rank], pa.int64())})
+
+    raw = jobs.repartition(max(1, min(len(paths) // 64, 8 * spark.sparkContext.defaultParallelism))).mapInArrow(read, "path string, content binary, rank long")
+    return raw.select(F.lit(tree).alias("tree"), F.lit("").alias("version"), "path", "content", "rank")
