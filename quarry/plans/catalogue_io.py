@@ -185,8 +185,7 @@ def _commit(root: str) -> None:
 
 def _git_tree(s: SparkSession, d: str) -> str:
     root = local_folder(s, "repo")
-    write_tree(docs(s, d), root)
-    _commit(root)
+    git.write_repository(docs(s, d), root)
     return root
 
 
@@ -204,8 +203,10 @@ add("source_mirror", _mirror, f"SELECT *, 'refs/heads/main,refs/heads/main' AS h
 
 
 def _submodule(s: SparkSession, d: str) -> DataFrame:
+    """A repository within another; its files are read from its objects, so that none is checked out."""
     inner, outer = _git_tree(s, d), local_folder(s, "outer")
     subprocess.run(["git", "init", "-q", "-b", "main", outer], check=True, capture_output=True)
+    subprocess.run(["git", "clone", "-q", "--no-checkout", inner, f"{outer}/lib"], check=True, capture_output=True)
     subprocess.run(["git", "-C", outer, "-c", "protocol.file.allow=always", "submodule", "--quiet", "add", inner, "lib"], check=True, capture_output=True)
     with open(f"{outer}/top.txt", "w") as f:
         f.write("top\n")

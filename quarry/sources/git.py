@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
+import tempfile
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.store import own_folder
+
 _SCHEMA = "tree string, version string, path string, content binary, rank long"
 
 
@@ -47,6 +53,74 @@ def in_order(paths: list[str], order_root: list[str]) -> list[str]:
     return sorted(paths, key=lambda p: (place.get(p.split("/", 1)[0], len(place)), p.split("/")))
 
 
+def _listing(repo: str, commit: str) -> pa.Table:
+    """``kind, oid, path`` of ``list_tree`` as a table, read piece by piece: a large tree makes no Python rows."""
+    parts = [pa.table({"kind": pa.array([], pa.string()), "oid": pa.array([], pa.string()), "path": pa.array([], pa.large_string())})]
+    with tempfile.TemporaryFile() as errors:
+        ls = subprocess.Popen(["git", "-C", repo, "ls-tree", "-r", "-z", "--full-tree", commit], stdout=subprocess.PIPE, stderr=errors)
+        left = b""
+        while piece := ls.stdout.read(1 << 24):
+            whole, _, left = (left + piece).rpartition(b"\0")
+            if whole:
+                rows = pc.list_flatten(pc.split_pattern(pa.array([whole.decode("utf-8", "replace")], pa.large_string()), "\0"))
+                got = pc.extract_regex(rows, r"(?s)^\S+ (?P<kind>\S+) (?P<oid>\S+)\t(?P<path>.*)$")
+                parts.append(pa.table({"kind": pc.struct_field(got, "kind").cast(pa.string()), "oid": pc.struct_field(got, "oid").cast(pa.string()), "path": pc.struct_field(got, "path")}))
+        if ls.wait():
+            errors.seek(0)
+            raise subprocess.CalledProcessError(ls.returncode, ls.args, stderr=errors.read())
+    return pa.concat_tables(parts)
+
+
+def _ordered(blobs: pa.Table, order_root: list[str]) -> pa.Table:
+    """The rows as ``in_order`` sorts their paths, with their ``rank``."""
+    first = pc.replace_substring_regex(blobs["path"], "(?s)/.*", "")
+    place = pc.fill_null(pc.index_in(first, pa.array(order_root, pa.large_string())), len(order_root))
+    parts = pc.replace_substring(blobs["path"], "/", "\0")  # less than all that a name may hold, so names are compared part by part
+    order = pc.sort_indices(pa.table({"place": place, "parts": parts}), [("place", "ascending"), ("parts", "ascending")])
+    return blobs.take(order).append_column("rank", pa.array(range(len(blobs)), pa.int64()))
+
+
+def write_repository(files: DataFrame, root: str, branch: str = "main", message: str = "files") -> str:
+    """A bare repository of one commit in ``root``, with the text ``raw`` of each file at ``path``; the commit.
+
+    Tasks write the blobs, a pack each; the driver sees names and ids alone, and
+    enters them sorted, which git takes without looking back.
+    """
+    spark = files.sparkSession
+    _git(root, "init", "-q", "--bare", "-b", branch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        command = ["git", "-C", root, "-c", "fastimport.unpackLimit=0", "-c", "pack.compression=1", "fast-import", "--quiet", "--depth=0"]
+        with tempfile.TemporaryFile() as errors, subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=errors) as packer:
+            for batch in batches:
+                ids = []
+                for text in batch.column(1).to_pylist():
+                    data = text.encode("utf-8", "surrogatepass")
+                    ids.append(hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest())
+                    packer.stdin.write(b"blob\ndata %d\n" % len(data) + data + b"\n")
+                yield pa.RecordBatch.from_pydict({"path": batch.column(0), "oid": pa.array(ids, pa.string())})
+            packer.stdin.close()
+            if packer.wait():
+                errors.seek(0)
+                raise RuntimeError(errors.read().decode("utf-8", "replace"))
+
+    names = own_folder(spark, "names")
+    files.select("path", "raw").mapInArrow(run, "path string, oid string").write.parquet(names)
+    listed = ds.dataset(names.removeprefix("file://").removeprefix("file:"), format="parquet").to_table()
+    listed = listed.take(pc.sort_indices(listed, [("path", "ascending")]))
+    enter = subprocess.Popen(["git", "-C", root, "update-index", "-z", "--index-info"], stdin=subprocess.PIPE)
+    for batch in listed.to_batches(65_536):
+        enter.stdin.write("".join(f"100644 {oid}\t{path}\0" for path, oid in zip(batch["path"].to_pylist(), batch["oid"].to_pylist())).encode())
+    enter.stdin.close()
+    if enter.wait():
+        raise subprocess.CalledProcessError(enter.returncode, enter.args)
+    if listed.num_rows:
+        _git(root, "multi-pack-index", "write")
+    commit = _git(root, "-c", "user.name=n", "-c", "user.email=e@example.org", "commit-tree", "-m", message, _git(root, "write-tree").decode().strip()).decode().strip()
+    _git(root, "update-ref", f"refs/heads/{branch}", commit)
+    return commit
+
+
 def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: str, order_root: list[str] | None = None, use_hash: bool = False, submodules: bool = False, blobs_per_task: int = 500) -> DataFrame:
     """``tree, version, path, content, rank``; nothing for an unknown revision.
 
@@ -58,11 +132,13 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: st
     commit = resolve(repo, revision)
     if commit is None:
         return spark.createDataFrame([], _SCHEMA)
-    entries = list_tree(repo, commit)
-    blobs = {p: oid for _, kind, oid, p in entries if kind == "blob"}
-    ordered = in_order(list(blobs), order_root or [])
+    entries = _listing(repo, commit)
+    ordered = _ordered(entries.filter(pc.equal(entries["kind"], "blob")).select(["path", "oid"]), order_root or [])
+    if not len(ordered):
+        listed = spark.createDataFrame([], "path string, oid string, rank long")
+    else:
+        listed = spark.createDataFrame(ordered.cast(pa.schema({"path": pa.string(), "oid": pa.string(), "rank": pa.int64()})))
     version = commit if use_hash else revision
-    listed = spark.createDataFrame([(p, blobs[p], i) for i, p in enumerate(ordered)], "path string, oid string, rank long")
     listed = listed.repartition(max(1, -(-len(ordered) // blobs_per_task)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +161,10 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: st
 
     found = listed.mapInArrow(read, _SCHEMA).where("content is not null")
     if submodules:
-        for _, kind, oid, path in entries:
+        links = entries.filter(pc.equal(entries["kind"], "commit"))
+        for oid, path in zip(links["oid"].to_pylist(), links["path"].to_pylist()):
             inner = f"{repo}/{path}"
-            if kind == "commit" and resolve(inner, oid):
+            if resolve(inner, oid):
                 sub = read_git(spark, inner, oid, tree=path, use_hash=use_hash, submodules=True, blobs_per_task=blobs_per_task)
                 found = found.unionByName(sub.selectExpr("tree", "version", f"concat('{path}/', path) as path", "content", f"rank + {len(ordered)} as rank"))
     return found
