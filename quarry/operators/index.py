@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ingest import FILE_COLUMNS
-from .ngram import trigrams
+from .ngram import pairs_of, posting_blocks
 
-VERSION = 1
+VERSION = 2
 
 
 class IndexError_(ValueError):
@@ -74,7 +74,7 @@ def build_index(files: DataFrame, root: str, *, name: str = "", trees: DataFrame
     if tags is not None:
         tags.write.parquet(f"{stamp}/tags")
     if ngrams:
-        trigrams(load_files(spark, stamp)).repartitionByRange("tri").sortWithinPartitions("tri", "file_no").write.option("compression", "zstd").parquet(f"{stamp}/ngrams")
+        posting_blocks(load_files(spark, stamp)).write.option("compression", "zstd").parquet(f"{stamp}/ngrams")
     meta = {"version": VERSION, "name": name, "index_time": int(time.time()), "has_tags": tags is not None, "has_ngrams": ngrams}
     _write_text(spark, f"{stamp}/meta.json", json.dumps(meta))
     _write_text(spark, f"{root}/CURRENT", stamp)
@@ -101,6 +101,11 @@ def load_files(spark: SparkSession, stamp: str) -> DataFrame:
     return df.select("file_no", F.col("tree").cast("string").alias("tree"), "version", "path", "lines", "content", "n_lines")
 
 
+def load_ngrams(spark: SparkSession, stamp: str) -> DataFrame:
+    """``tri, file_no``"""
+    return pairs_of(spark.read.parquet(f"{stamp}/ngrams"))
+
+
 def inspect(files: DataFrame) -> DataFrame:
     """Counts and sizes of an index, one row."""
     return files.agg(

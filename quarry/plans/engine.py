@@ -72,7 +72,7 @@ class Engine:
         e = cls(
             files,
             tg.tags_of_files(ix.load_files(spark, ix.current(spark, tags_root))) if tags_root else spark.read.parquet(f"{stamp}/tags") if meta["has_tags"] else None,
-            spark.read.parquet(f"{stamp}/ngrams") if meta.get("has_ngrams") else None,
+            ix.load_ngrams(spark, stamp) if meta.get("has_ngrams") else None,
             spark.read.parquet(f"{stamp}/trees"),
             config,
             meta,
