@@ -280,7 +280,7 @@ def tag_rows(s: SparkSession, d: str) -> DataFrame:
     """Tags made of the corpus: the first word of each line, as rows of a tags file."""
     x = ingest.lines_of(docs(s, d)).withColumn("w", F.regexp_extract("line", "^([A-Za-z]+)", 1))
     fields = F.when(F.col("lno") % 2 == 0, "f\tkind:function").otherwise("v\tkind:variable")
-    return x.where("w <> ''").select("tree", F.lit("tags").alias("tags_path"), F.concat_ws("\t", "w", "path", F.concat(F.col("lno").cast("string"), F.lit(';"')), fields).alias("value"))
+    return x.where("w <> ''").select("file_no", "tree", F.lit("tags").alias("tags_path"), F.concat_ws("\t", "w", "path", F.concat(F.col("lno").cast("string"), F.lit(';"')), fields).alias("value"))
 
 
 def tag_table(s: SparkSession, d: str) -> DataFrame:

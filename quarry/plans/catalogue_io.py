@@ -117,12 +117,19 @@ def _reload(s: SparkSession, d: str) -> DataFrame:
 add("index_reload", _reload, f"{pre()} SELECT 'before' AS step, false AS reloaded, count(*) FILTER (file_no % 2 = 0) AS files FROM F UNION ALL SELECT 'open', false, count(*) FILTER (file_no % 2 = 0) FROM F UNION ALL SELECT 'after', true, count(*) FROM F")
 
 
+def tags_files(rows: DataFrame) -> DataFrame:
+    """``tree, part, text``: rows of tags as tags files, sorted, as the programs write them; a large tree has several, so that each fits a task."""
+    part = F.floor(F.col("file_no") / ingest.BUCKET_FILES).alias("part")
+    return rows.groupBy("tree", part).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("text"))
+
+
 def _second_index(s: SparkSession, d: str) -> DataFrame:
     """Tags from an index of tags files, joined to the files of another."""
-    rows = tag_rows(s, d).groupBy("tree").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("text"))  # a tags file a tree, as the programs write them
+    rows = tags_files(tag_rows(s, d))
     root = own_folder(s, "index")
-    named = ingest.number_files(rows, "tree")
-    ix.build_index(ingest.text_files(named, file_no=F.col("file_no"), tree=F.col("tree"), version=F.lit(""), path=F.lit("tags"), text=F.col("text")), root)
+    named = ingest.number_files(rows, "tree", "part")
+    path = F.concat(F.lit("tags-"), F.col("part").cast("string"))
+    ix.build_index(ingest.text_files(named, file_no=F.col("file_no"), tree=F.col("tree"), version=F.lit(""), path=path, text=F.col("text")), root)
     e = Engine.open(s, index_of(s, d), tags_root=root)
     joined = tg.join_tags(e.tags, e.files)
     return joined.where("tag = 'The'").select("file_no", "tag_lno", "line")
