@@ -417,10 +417,15 @@ def _callbacks(s: SparkSession, d: str) -> DataFrame:
 add("callbacks", _callbacks, f"{pre()} SELECT 'line' AS kind, path, lno, upper(line) AS line FROM L WHERE contains(line, 'moron') AND lno > 1 UNION ALL SELECT 'path', path, 0, '' FROM F WHERE contains(path, 'moron') UNION ALL SELECT 'path', path, 0, '' FROM F WHERE {has('path', 'src1/.*9')}")
 
 
+def write_arrivals(documents: DataFrame, folder: str, rows: int = 4_096) -> None:
+    """The documents as the files of a stream, so many rows in each: tasks write what they read, and nothing is exchanged."""
+    documents.write.option("maxRecordsPerFile", rows).parquet(folder)
+
+
 def _standing(s: SparkSession, d: str) -> DataFrame:
     """A standing query over the documents as a stream of files."""
     source, out, state = (own_folder(s, f"stream-{x}") for x in ("in", "out", "state"))
-    _table(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(source)
+    write_arrivals(_table(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), source)
     found = stream.standing_query(stream.stream_documents(s, source), Query(line="idiot", file=("^en",)))
     stream.append_matches(found, out, state).awaitTermination()
     return flat(s.read.parquet(out))
