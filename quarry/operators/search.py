@@ -73,6 +73,9 @@ class Pattern:
     def matches(self, text: Column) -> Column:
         if self.linear:
             return _linear_matches(("(?i)" if self.fold else "") + self.re2)(text)
+        last = rx.tail(self.node)
+        if last is not None:
+            text = F.substring(text, -last, last)
         pieces = rx.chain(self.node)
         if pieces is None:
             return text.rlike(rx.prefix(self.fold) + self.body)
@@ -86,11 +89,14 @@ class Pattern:
             flags = "i" if self.fold else ""
             return _linear_bounds(f"(?s{flags})^(?P<a>.*?)(?P<m>(?-s:{self.re2}))")(text)
         flags = rx.prefix(self.fold)
+        last, before = rx.tail(self.node), F.lit(0)
+        if last is not None:
+            before, text = F.greatest(F.length(text) - last, F.lit(0)), F.substring(text, -last, last)
         pieces = rx.chain(self.node)
         if pieces is None:
             # one evaluation of the pattern: what precedes the match, and the match
             both = f"{flags}^(.*?)({self.body})"
-            left = F.length(F.regexp_extract(text, both, 1))
+            left = before + F.length(F.regexp_extract(text, both, 1))
             right = left + F.length(F.regexp_extract(text, both, 2))
         else:
             first, last = rx.to_java(pieces[0], self.fold), rx.to_java(pieces[-1], self.fold)
@@ -100,12 +106,12 @@ class Pattern:
 
     def prefilter(self, files: DataFrame) -> DataFrame:
         """Files that may hold a matching line: required literals, which reach the
-        scan, then the pattern itself over the whole text where that is sound and
-        no try can run on beyond a line."""
+        scan, then the pattern itself over the whole text where that is sound,
+        no try can run on beyond a line, and the ends of lines do not tell by themselves."""
         text = F.col("raw" if "raw" in files.columns else "content")
         want = planner.condition(planner.need_of(self.node), text)
         out = files if want is None else files.where(want)
-        if not self.linear and not rx.can_be_empty(self.node) and rx.unbounded(self.node) < 2 and rx.stays_in_line(self.node) and not {"begin", "end"} & rx.kinds(self.node):
+        if not self.linear and rx.tail(self.node) is None and not rx.can_be_empty(self.node) and rx.unbounded(self.node) < 2 and rx.stays_in_line(self.node) and not {"begin", "end"} & rx.kinds(self.node):
             out = out.where(text.rlike(rx.prefix(self.fold, lines=True) + self.body))
         return out
 
