@@ -42,9 +42,12 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Write the text of each file under ``root``, by tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                if (folder := os.path.dirname(f"{root}/{path}")) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(f"{root}/{path}", "wb") as f:
                     f.write(text.encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows])})

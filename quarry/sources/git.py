@@ -14,10 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.store import own_folder
-
-_SCHEMA = "tree string, version string, path string, content binary, rank long"
+from .files import NAMED, read_named
 
 
 def _git(repo: str, *args: str) -> bytes:
@@ -83,14 +83,15 @@ def _ordered(blobs: pa.Table, order_root: list[str]) -> pa.Table:
 def write_repository(files: DataFrame, root: str, branch: str = "main", message: str = "files") -> str:
     """A bare repository of one commit in ``root``, with the text ``raw`` of each file at ``path``; the commit.
 
-    Tasks write the blobs, a pack each; the driver sees names and ids alone, and
-    enters them sorted, which git takes without looking back.
+    Tasks write the blobs, a pack each, as they are: to deflate them takes longer than all
+    else.  The driver sees names and ids alone, and enters them sorted, which git takes
+    without looking back.
     """
     spark = files.sparkSession
     _git(root, "init", "-q", "--bare", "-b", branch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        command = ["git", "-C", root, "-c", "fastimport.unpackLimit=0", "-c", "pack.compression=1", "fast-import", "--quiet", "--depth=0"]
+        command = ["git", "-C", root, "-c", "fastimport.unpackLimit=0", "-c", "pack.compression=0", "fast-import", "--quiet", "--depth=0"]
         with tempfile.TemporaryFile() as errors, subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=errors) as packer:
             for batch in batches:
                 ids = []
@@ -129,9 +130,29 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: st
     the working tree are read with their path as prefix and as tree of their own.
     The repository must be where the executors can read it.
     """
+    return read_named(_name(spark, repo, revision, tree, order_root, use_hash, submodules, blobs_per_task))
+
+
+def name_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: str, order_root: list[str] | None = None, use_hash: bool = False, submodules: bool = False, blobs_per_task: int = 10_000) -> DataFrame:
+    """The blobs of ``read_git`` that the repository has, as ``NAMED``; none is read."""
+    named = _name(spark, repo, revision, tree, order_root, use_hash, submodules, blobs_per_task)
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = batch.column(1)
+            for root in pc.unique(roots).to_pylist():
+                part = batch.filter(pc.equal(roots, root))
+                ids = "\n".join(part.column(2).to_pylist()).encode() + b"\n"
+                out = subprocess.run(["git", "-C", root, "cat-file", "--batch-check=%(objectname)"], input=ids, capture_output=True, check=True).stdout
+                yield part.filter(pa.array([not row.endswith(b" missing") for row in out.splitlines()]))
+
+    return named.mapInArrow(present, NAMED)
+
+
+def _name(spark: SparkSession, repo: str, revision: str, tree: str, order_root: list[str] | None, use_hash: bool, submodules: bool, blobs_per_task: int) -> DataFrame:
     commit = resolve(repo, revision)
     if commit is None:
-        return spark.createDataFrame([], _SCHEMA)
+        return spark.createDataFrame([], NAMED)
     entries = _listing(repo, commit)
     ordered = _ordered(entries.filter(pc.equal(entries["kind"], "blob")).select(["path", "oid"]), order_root or [])
     if not len(ordered):
@@ -140,33 +161,14 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", *, tree: st
         listed = spark.createDataFrame(ordered.cast(pa.schema({"path": pa.string(), "oid": pa.string(), "rank": pa.int64()})))
     version = commit if use_hash else revision
     listed = listed.repartition(max(1, -(-len(ordered) // blobs_per_task)))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="\n".join(ids).encode() + b"\n", capture_output=True, check=True).stdout
-            data, at = [], 0
-            for _ in ids:
-                end = out.index(b"\n", at)
-                head = out[at:end].split(b" ")
-                if len(head) < 3:  # a missing object
-                    data.append(None)
-                    at = end + 1
-                    continue
-                size = int(head[2])
-                data.append(out[end + 1 : end + 1 + size])
-                at = end + 2 + size
-            n = len(ids)
-            yield pa.RecordBatch.from_pydict({"tree": pa.array([tree] * n), "version": pa.array([version] * n), "path": batch.column(0), "content": pa.array(data, pa.binary()), "rank": batch.column(2)})
-
-    found = listed.mapInArrow(read, _SCHEMA).where("content is not null")
+    found = listed.select(F.lit("blob").alias("kind"), F.lit(repo).alias("root"), F.col("oid").alias("at"), F.lit(tree).alias("tree"), F.lit(version).alias("version"), "path", "rank")
     if submodules:
         links = entries.filter(pc.equal(entries["kind"], "commit"))
         for oid, path in zip(links["oid"].to_pylist(), links["path"].to_pylist()):
             inner = f"{repo}/{path}"
             if resolve(inner, oid):
-                sub = read_git(spark, inner, oid, tree=path, use_hash=use_hash, submodules=True, blobs_per_task=blobs_per_task)
-                found = found.unionByName(sub.selectExpr("tree", "version", f"concat('{path}/', path) as path", "content", f"rank + {len(ordered)} as rank"))
+                sub = _name(spark, inner, oid, path, None, use_hash, True, blobs_per_task)
+                found = found.unionByName(sub.withColumns({"path": F.concat(F.lit(f"{path}/"), "path"), "rank": F.col("rank") + len(ordered)}))
     return found
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import binary_files, number_files
-from .files import read_fs, read_ordered
-from .git import read_git
+from .files import name_fs, name_ordered, read_named
+from .git import name_git
+
+#: Files that a task reads, where there are many.
+FILES_PER_TASK = 20_000
 
 
 @dataclass
@@ -97,24 +100,30 @@ def load_config(path: str | None = None, **defaults) -> ServerConfig:
 
 
 def ingest(spark: SparkSession, spec: IndexSpec, *, base: str = "", order_root: list[str] | None = None, use_hash: bool = False, line_limit: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """``files`` and ``trees`` of a specification: paths first, then repositories by revision."""
-    raw, trees = [], []
+    """``files`` and ``trees`` of a specification: paths first, then repositories by revision.
+
+    Names are numbered, and files are read by their names only then, so that no content
+    is exchanged, sorted or stored.  A file that has gone meanwhile leaves its number unused.
+    """
+    named, trees = [], []
     for p in spec.fs_paths:
         root = p.path if os.path.isabs(p.path) else os.path.join(base, p.path)
-        part = read_ordered(spark, root, p.ordered_contents, tree=p.name, base=base) if p.ordered_contents else read_fs(spark, root, tree=p.name, ignore_symlinks=p.ignore_symlinks)
-        raw.append(part)
+        part = name_ordered(spark, root, p.ordered_contents, tree=p.name, base=base) if p.ordered_contents else name_fs(spark, root, tree=p.name, ignore_symlinks=p.ignore_symlinks)
+        named.append(part)
         trees.append((p.name, "", p.metadata))
     for r in spec.repositories:
         for revision in r.revisions:
             root = r.path if os.path.isabs(r.path) else os.path.join(base, r.path)
-            raw.append(read_git(spark, root, revision, tree=r.name, order_root=order_root, use_hash=use_hash, submodules=r.walk_submodules))
+            named.append(name_git(spark, root, revision, tree=r.name, order_root=order_root, use_hash=use_hash, submodules=r.walk_submodules))
             trees.append((r.name, revision, r.metadata))
     every = None
-    for i, part in enumerate(raw):
+    for i, part in enumerate(named):
         part = part.withColumn("source_no", F.lit(i))
         every = part if every is None else every.unionByName(part)
     numbered = number_files(every, "source_no", "rank", "path")
-    files = binary_files(numbered, line_limit)
+    count, tasks = numbered.count(), 8 * spark.sparkContext.defaultParallelism
+    spread = numbered.repartition(max(1, min(-(-count // 64), max(tasks, count // FILES_PER_TASK))), F.floor(F.col("file_no") / 64))
+    files = binary_files(read_named(spread), line_limit)
     table = spark.createDataFrame([(n, v, m.url_pattern, m.remote, m.github, m.labels) for n, v, m in trees], "name string, version string, url_pattern string, remote string, github string, labels array<string>")
     return files, table
 
