@@ -32,12 +32,8 @@ def _line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
-    return (
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.when(x == "", 0).otherwise(blanks(x) + 1)).alias("w"), text.alias("t"))
-        .where("id is not null and t is not null")
-        .drop("t")
-        .dropDuplicates(["id", "th"])
-    )
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), lines.alias("l"), text.alias("t")).where("id is not null and t is not null")
+    return base.select("id", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.when(x == "", 0).otherwise(blanks(x) + 1)).alias("w")).dropDuplicates(["id", "th"])
 
 
 def _run_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -21,39 +21,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, discard, fresh, release, stored
-from .textkit import Words, _tables, mix, shingles
+from .textkit import Words, _tables, mix
 
 _NEWLINE = 10
 
 
+def run_hashes(words: Words, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each on, by prefix sums: what a run costs does not depend on its length."""
+    n = len(words.hashes)
+    if n < size:
+        return np.empty(0, np.uint64)
+    p, inv = _tables(n + 1)
+    acc = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(words.hashes) * p[:n], out=acc[1:])
+        return mix((acc[size:] - acc[:-size]) * inv[: n - size + 1])
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """``best`` of the ``span`` values from each on, by runs of doubled length."""
+    size, out = 1, x
+    while 2 * size <= span:
+        out = best(out[:-size], out[size:])
+        size *= 2
+    return best(out[: len(out) - (span - size)], out[span - size :])
+
+
 def fingerprints(words: Words, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, text and first word of each window's least gram."""
+    """Gram hash, text and first word of each window's least gram (of all that are equal)."""
     none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    n = words.counts()
     span = guarantee - noise + 1
-    sh, off = shingles(words, noise)
-    if len(sh) < span:
-        return none
-    doc = np.repeat(np.arange(len(n)), np.diff(off))
-    begin = np.flatnonzero(doc[: len(sh) - span + 1] == doc[span - 1 :])
-    begin = begin[n[doc[begin]] >= guarantee]
-    if not len(begin):
+    grams = run_hashes(words, noise)
+    if len(grams) < span:
         return none
-    windows = np.lib.stride_tricks.sliding_window_view(sh, span)
-    pick = np.unique(np.concatenate([begin[a : a + 65536] + windows[begin[a : a + 65536]].argmin(axis=1) for a in range(0, len(begin), 65536)]))
-    return sh[pick], doc[pick], pick - off[doc[pick]]
+    least = _sliding(np.minimum, grams, span)
+    whole = np.zeros(len(least) + 1, np.int8)  # windows that lie within one text
+    first, stop = words.off[:-1], words.off[1:] - guarantee + 1
+    long = stop > first
+    whole[first[long]] += 1
+    whole[stop[long]] -= 1
+    least[np.cumsum(whole[:-1], dtype=np.int8) == 0] = 0
+    edge = np.zeros(span - 1, np.uint64)
+    # no gram is less than the least of a window around it, so it is one's least if it is the greatest of these
+    pick = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), span) == grams)
+    doc = np.searchsorted(words.off, pick, side="right") - 1
+    return grams[pick], doc, pick - words.off[doc]
 
 
 def window_keys(words: Words, doc: np.ndarray, at: np.ndarray, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Content key, text and first word of each window that holds one of the grams (text, first word)."""
-    n = words.counts()
     start = at[:, None] + np.arange(noise - guarantee, 1)
-    inside = (start >= 0) & (start + guarantee <= n[doc][:, None])
-    place = np.unique((words.off[:-1][doc][:, None] + start)[inside])
-    p, inv = _tables(len(words.hashes) + 1)
-    with np.errstate(over="ignore"):
-        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes) * p[: len(words.hashes)])])
-        key = mix((acc[place + guarantee] - acc[place]) * inv[place]) if len(place) else np.empty(0, np.uint64)
+    inside = (start >= 0) & (start + guarantee <= words.counts()[doc][:, None])
+    wanted = np.zeros(len(words.hashes) + 1, dtype=bool)
+    wanted[(words.off[:-1][doc][:, None] + start)[inside]] = True
+    place = np.flatnonzero(wanted)
+    key = run_hashes(words, guarantee)[place] if len(place) else np.empty(0, np.uint64)
     of = np.searchsorted(words.off, place, side="right") - 1
     return key, of, place - words.off[of]
 
