@@ -48,7 +48,7 @@ def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
 
 
 def fingerprints(words: Words, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, text and first word of each window's least gram (of all that are equal)."""
+    """Gram hash, text and first word of each window's least gram, the first of those that are equal."""
     none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     span = guarantee - noise + 1
     grams = run_hashes(words, noise)
@@ -64,6 +64,14 @@ def fingerprints(words: Words, noise: int, guarantee: int) -> tuple[np.ndarray,
     edge = np.zeros(span - 1, np.uint64)
     # no gram is less than the least of a window around it, so it is one's least if it is the greatest of these
     pick = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), span) == grams)
+    order = np.argsort(grams[pick], kind="stable")
+    here, back = pick[order[1:]], pick[order[:-1]]
+    tie = np.flatnonzero((grams[here] == grams[back]) & (here - back < span))  # such a one needs a window that begins after the one before it
+    window = here[tie][:, None] - np.arange(span)
+    needed = ((window > back[tie][:, None]) & (least[np.clip(window, 0, len(least) - 1)] == grams[here[tie]][:, None]) & (window < len(least))).any(axis=1)
+    keep = np.ones(len(pick), dtype=bool)
+    keep[order[1:][tie[~needed]]] = False
+    pick = pick[keep]
     doc = np.searchsorted(words.off, pick, side="right") - 1
     return grams[pick], doc, pick - words.off[doc]
 
@@ -120,7 +128,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
         of = pa.array(doc)
         return {"g": pa.array(g.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32())}
 
-    found = stored(arrow_map(base, prints, "g long, id long, th long, at int", 2), "grams", "lz4")
+    found = stored(arrow_map(base, prints, "g long, id long, th long, at int", 2), "grams")
     twice = found.groupBy("g").count().where("count > 1").select("g")
     wanted = cut(found.join(twice, "g").groupBy("id", "th").agg(F.collect_set("at").alias("hits")))
     del twice
@@ -137,7 +145,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, noise: int, g
         return {"w": pa.array(key.view(np.int64)), "id": batch.column(0).take(of), "th": batch.column(1).take(of), "at": pa.array(at, pa.int32()), "a": pa.array(first, pa.int32()), "z": pa.array(go_on, pa.int32())}
 
     holders = base.join(wanted, ["id", "th"]).select("id", "th", "t", "hits").dropDuplicates(["id", "th"])
-    spots = stored(arrow_map(holders, windows, "w long, id long, th long, at int, a int, z int", 2), "windows", "lz4")
+    spots = stored(arrow_map(holders, windows, "w long, id long, th long, at int, a int, z int", 2), "windows")
     del holders
     release(docs.sparkSession)
     place = F.struct("id", "th", "at")
